@@ -18,10 +18,9 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def shared_dir(spark: SparkSession) -> str:
     """The scratch folder that all executors share; one of its own only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = sc._text_scratch = getattr(sc, "_text_scratch", None) or tempfile.mkdtemp(prefix="spark-shared-")
     return where
 
 

@@ -31,6 +31,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys (a few dozen bytes each) that may be broadcast; larger sides are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """keys, which should be a written table, marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def documents(df: DataFrame) -> DataFrame:
     """(doc_id, text) of a documents table, without any other column it may carry."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

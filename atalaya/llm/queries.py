@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, language_id, pii, quality, secrets, telephony, url_filters
+from . import bpe, decontamination, language_id, near_dedup, pii, quality, secrets, telephony, url_filters
 
 #: Where the public tokenizer files lie on every machine.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -29,6 +29,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_secret_scans, op3_pii, op4_language_id, op6_quality_classifier, op7_bpe, op8_media_columns, op9_url_filters, op10_decontamination)
+_ALL = (op1_secret_scans, op3_pii, op4_language_id, op5_near_dedup, op6_quality_classifier, op7_bpe, op8_media_columns, op9_url_filters, op10_decontamination)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op9_url_filters": url_filters.ORACLE_SQL}

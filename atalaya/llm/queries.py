@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, language_id, near_dedup, pii, quality, secrets, telephony, url_filters
+from . import bpe, decontamination, language_id, line_dedup, near_dedup, pii, quality, secrets, telephony, url_filters
 
 #: Where the public tokenizer files lie on every machine.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -21,6 +21,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_secret_scans, op3_pii, op4_language_id, op5_near_dedup, op6_quality_classifier, op7_bpe, op8_media_columns, op9_url_filters, op10_decontamination)
+_ALL = (op1_secret_scans, op2_line_dedup, op3_pii, op4_language_id, op5_near_dedup, op6_quality_classifier, op7_bpe, op8_media_columns, op9_url_filters, op10_decontamination)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op9_url_filters": url_filters.ORACLE_SQL}

@@ -27,14 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of edges (a, b), both long, with the least node that it reaches. Nulls are dropped.
 
     Rounds of stars on large and small neighbours shrink every component to a star in about log^2 of its diameter;
-    each round is written to the shared folder, and the end is where a round changes nothing.
+    each round is written to the shared folder, and the end is where every node but the centres has one link.
     """
-    now = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    now = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     while True:
         now = materialize(_stars(_stars(now, "large"), "small"), "stars")
-        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == new:
+        count = now.agg(F.count("*").alias("n"), F.count_distinct("b").alias("ends")).first()
+        if count.n == count.ends and now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
             break
-        state = new
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

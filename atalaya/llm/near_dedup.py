@@ -1,18 +1,19 @@
 """Near duplicates by a chosen-path set similarity join over word shingles.
 
-A document's set is its distinct five-word shingles. Equal sets form a class, and only classes are joined. A sketch of
-PLACES minwise values of a class guides TREES independent trees: the root branches on one minwise place of the tree, a
-deeper node on BRANCHES places that its own path chooses, so that classes of similarity J stay together with a chance of
-J a place. Nodes of at most SMALL classes are compared exhaustively; in a larger node all are compared with its leader
-(the least class) and the node is branched further. Compared pairs whose sketches make 0.75 possible at five standard
-deviations are confirmed on the full sets, recomputed from the texts of just those classes.
+A document's set is its distinct five-word shingles. Equal sets form a class, and only classes are joined. TREES
+independent trees start each class at a node named by one minwise value of its set; deeper nodes branch on the places of
+a sketch (PLACES minwise values, one byte each) that the node's own path chooses: one place, and a second one in a third
+of the nodes, so that a class of similarity 0.75 is expected to stay with another once a level, whatever the depth.
 
-After FREE levels the confirmed links are joined into components, and only nodes that still hold several components go
-on, with another leader each time: this is what keeps large groups of near copies from being compared pair by pair. When
-LEVELS are used up, what is left in such nodes is compared across components within the node.
+Nodes of at most SMALL classes are compared exhaustively by their sketches. What may be linked (AGREE places or more: 3.7
+standard deviations below 0.75) is confirmed on the full sets, recomputed from the texts of just those classes, in two
+rounds: first each node's spanning forest of the most similar pairs, then, in nodes that have more such pairs, all that
+the components of the first round leave apart. So a group of near copies costs its size, and no possible link is left
+out. Larger nodes are branched further. From level FREE on they are also compared with a leader, another one each level,
+and nodes whose classes are all in one component end; what is still large after LEVELS is compared across components.
 
-Recall of a link of similarity exactly 0.75 over 16 trees is above 0.999 where nodes are small by the third level; links
-of higher similarity are surer. Confirmed links are exact.
+Recall of a link of similarity exactly 0.75 over 16 trees is above 0.999 where nodes are small by the second level;
+links of higher similarity are surer. Confirmed links are exact.
 
 Defined results: null texts, and texts without words, have empty sets, are linked with nothing and are their own
 component; texts of fewer than five words have one shingle, the whole sequence; a null doc_id has a component of null
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import DOC_COLUMNS, batches, documents, materialize, row_key, sized
@@ -35,56 +36,53 @@ from .components import components
 SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-PLACES = 64
+PLACES = 128
 TREES = 16
-SMALL = 24
-BRANCHES = 2
-FREE = 3
-LEVELS = 8
-#: Sketches that agree in fewer places rule a pair out: five standard deviations below 0.75 of PLACES.
-AGREE = 31
+SMALL = 512
+FREE = 4
+LEVELS = 10
+#: Sketches that agree in fewer places rule a pair out.
+AGREE = 78
 
-_SEEDS = mix(np.arange(1, PLACES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+_SEEDS = mix(np.arange(1, PLACES + TREES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
 def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, __row (a key of the row's values), n (set size), cls (hash of the set; null if empty), sig (2 bytes a place)."""
+    """doc_id, __row (a key of the row's values), n (set size), cls (hash of the set; null if empty), sig, roots."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in batches(rows):
+        for part, data, offsets in batches(rows, 2 << 20):
             sets = shingle_sets(data, offsets, size)
             sizes = np.array([len(x) for x in sets], np.int64)
             full = np.flatnonzero(sizes)
-            classes, sigs = np.zeros(len(sets), np.int64), np.zeros((len(sets), PLACES), "<u2")
+            classes, sigs, roots = np.zeros(len(sets), np.int64), np.zeros((len(sets), PLACES), np.uint8), np.zeros((len(sets), TREES), np.int64)
             if len(full):
                 flat = np.concatenate([sets[k] for k in full])
                 starts = np.cumsum(sizes[full]) - sizes[full]
                 classes[full] = mix(np.add.reduceat(mix(flat + U(1)), starts) + sizes[full].astype(U)).view(np.int64)
-                for k in range(PLACES):
-                    sigs[full, k] = mix(np.minimum.reduceat(flat * _SEEDS[k], starts)).astype(np.uint16)
+                for k in range(PLACES + TREES):
+                    least = mix(np.minimum.reduceat(flat * _SEEDS[k], starts) + U(k))
+                    if k < PLACES:
+                        sigs[full, k] = least.astype(np.uint8)
+                    else:
+                        roots[full, k - PLACES] = least.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("__row"), pa.array(sizes), pa.array(classes, mask=sizes == 0), pa.array([x.tobytes() for x in sigs], pa.binary())],
-                names=["doc_id", "__row", "n", "cls", "sig"],
-            )
+                [
+                    part.column("doc_id"), part.column("__row"), pa.array(sizes), pa.array(classes, mask=sizes == 0),
+                    pa.array([x.tobytes() for x in sigs], pa.binary()), pa.ListArray.from_arrays(np.arange(0, roots.size + 1, TREES, dtype=np.int32), roots.ravel()),
+                ],
+                names=["doc_id", "__row", "n", "cls", "sig", "roots"],
+            )
 
     keyed = documents(docs).withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
-    return keyed.mapInArrow(run, "doc_id long, __row long, n long, cls long, sig binary")
-
-
-def _value(place: Column) -> Column:
-    return F.substring(F.col("sig"), 2 * place + 1, F.lit(2))
-
-
-def _roots(classes: DataFrame) -> DataFrame:
-    """(node, cls): the first node of each class in each tree."""
-    nodes = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * (t * PLACES // TREES) + 1, 2)) for t in range(TREES)])
-    return classes.select(F.explode(nodes).alias("node"), "cls")
+    return keyed.mapInArrow(run, "doc_id long, __row long, n long, cls long, sig binary, roots array<long>")
 
 
 def _children(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, cls): each node branched on the places that its path chooses."""
-    places = [F.pmod(F.xxhash64("node", F.lit(b)), F.lit(PLACES)).cast("int") for b in range(BRANCHES)]
-    deeper = F.array(*[F.xxhash64("node", F.lit(b), _value(p)) for b, p in enumerate(places)])
+    value = lambda k: F.substring(F.col("sig"), F.pmod(F.xxhash64("node", F.lit(k)), F.lit(PLACES)).cast("int") + 1, F.lit(1))
+    child = lambda k: F.xxhash64("node", F.lit(k), value(k))
+    deeper = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(3)) == 0, F.array(child(0), child(1))).otherwise(F.array(child(0)))
     return nodes.select("node", "cls").join(classes.select("cls", "sig"), "cls").select(F.explode(deeper).alias("node"), "cls").distinct()
 
 
@@ -96,29 +94,66 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
-            sigs = [np.frombuffer(b"".join(part.column(k).to_pylist()), "<u2").reshape(-1, PLACES) for k in ("sig_a", "sig_b")]
+            sigs = [np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, PLACES) for k in ("sig_a", "sig_b")]
             yield part.select(["a", "b"]).filter(pa.array((sigs[0] == sigs[1]).sum(1) >= AGREE))
 
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _small_pairs(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """The possible pairs within nodes of at most SMALL classes, each once."""
+def _agreeing(ids: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The possible pairs (i < j) of a node's classes with different tops, and in how many places they agree."""
+    found = []
+    for at in range(0, len(ids), 64):
+        agree = (sigs[at : at + 64, None, :] == sigs[None, :, :]).sum(2)
+        n = np.minimum.outer(sizes[at : at + 64], sizes) * 100 >= PERCENT * np.maximum.outer(sizes[at : at + 64], sizes)
+        i, j = np.nonzero((agree >= AGREE) & n & (tops[at : at + 64, None] != tops[None, :]))
+        later = j > i + at
+        found.append((i[later] + at, j[later], agree[i[later], j[later]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
+
+
+def _forest(i: np.ndarray, j: np.ndarray, agree: np.ndarray, n: int) -> list[int]:
+    """Places of the pairs that make a spanning forest, the most similar first."""
+    up, kept = list(range(n)), []
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for k in np.lexsort((j, i, -agree)).tolist():
+        a, b = find(int(i[k])), find(int(j[k]))
+        if a != b:
+            up[b] = a
+            kept.append(k)
+    return kept
+
+
+def _node_pairs(nodes: DataFrame, classes: DataFrame, first: bool) -> DataFrame:
+    """(node, a, b) within nodes (node, cls, top): the forest if first, with (node, null, null) where there are more; else all."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
-            left, right = [], []
-            for ids, sizes, sigs in zip(part.column("ids").to_pylist(), part.column("sizes").to_pylist(), part.column("sigs").to_pylist(), strict=True):
-                x, n, c = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, PLACES), np.array(sizes), np.array(ids)
-                i, j = np.triu_indices(len(c), 1)
-                ok = ((x[i] == x[j]).sum(1) >= AGREE) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-                left.append(np.minimum(c[i[ok]], c[j[ok]]))
-                right.append(np.maximum(c[i[ok]], c[j[ok]]))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-
-    lists = nodes.join(classes, "cls").groupBy("node").agg(F.collect_list("cls").alias("ids"), F.collect_list("n").alias("sizes"), F.collect_list("sig").alias("sigs"))
-    return lists.select("ids", "sizes", "sigs").mapInArrow(run, "a long, b long").distinct()
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            more = []
+            for node, ids, sizes, tops, sigs in zip(*(part.column(k).to_pylist() for k in ("node", "ids", "sizes", "tops", "sigs")), strict=True):
+                order = np.argsort(ids)
+                c, n, t = np.array(ids)[order], np.array(sizes)[order], np.array(tops)[order]
+                i, j, agree = _agreeing(c, n, np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, PLACES)[order], t)
+                if first and len(i):
+                    kept = _forest(i, j, agree, len(c))
+                    if len(kept) < len(i):
+                        more.append(node)
+                    i, j = i[kept], j[kept]
+                out.append((np.full(len(i), node, np.int64), c[i], c[j]))
+            if out:
+                node, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(node), pa.array(more, pa.int64())]), *(pa.concat_arrays([pa.array(x.astype(np.int64)), pa.nulls(len(more), pa.int64())]) for x in (a, b))], names=["node", "a", "b"])
+
+    lists = nodes.join(classes.select("cls", "n", "sig"), "cls").groupBy("node")
+    lists = lists.agg(F.collect_list("cls").alias("ids"), F.collect_list("n").alias("sizes"), F.collect_list("top").alias("tops"), F.collect_list("sig").alias("sigs"))
+    return lists.mapInArrow(run, "node long, a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -142,54 +177,68 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int
     return joined.where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _named(nodes: DataFrame, tops: DataFrame | None) -> DataFrame:
+    """(node, cls, top): the component of each class so far; itself if it has none."""
+    if tops is None:
+        return nodes.select("node", "cls", F.col("cls").alias("top"))
+    return nodes.select("node", F.col("cls").alias("__cls")).join(tops.withColumnRenamed("node", "__node"), F.col("__cls") == F.col("__node"), "left").select("node", F.col("__cls").alias("cls"), F.coalesce("root", "__cls").alias("top"))
+
+
 def link_classes(sketches: DataFrame, docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(node, root): components of linked classes that are not alone."""
-    classes = sketches.where("cls IS NOT NULL").groupBy("cls").agg(F.min("n").alias("n"), F.min("sig").alias("sig"))
+    classes = sketches.where("cls IS NOT NULL").groupBy("cls").agg(F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("roots").alias("roots"))
     classes = materialize(classes, "classes")
-    links = tops = None
-    level, nodes = 1, _roots(classes)
-    possible: list[DataFrame] = []
-    while True:
-        if tops is None:
-            named = nodes.withColumn("top", F.col("cls"))
-        else:
-            named = nodes.join(tops, F.col("cls") == F.col("__cls"), "left").select("node", "cls", F.coalesce("root", "cls").alias("top"))
-            named = materialize(named, "named")
+    nodes, links, tops = classes.select(F.explode("roots").alias("node"), "cls"), None, None
+    small: list[DataFrame] = []
+
+    def confirm(pairs: DataFrame) -> None:
+        nonlocal links, tops
+        new = _confirmed(pairs.select("a", "b").distinct(), sketches, docs, size)
+        links = materialize(new if links is None else links.unionAll(new), "links")
+        tops = materialize(components(links), "tops")
+
+    for level in range(1, LEVELS + 1):
+        named = _named(nodes, tops)
         if tops is None:
             sizes = named.groupBy("node").agg(F.count("*").alias("size"), F.min("cls").alias("leader"), F.max("cls").alias("last"))
             sizes = sizes.where("leader <> last").select("node", "size", "leader", F.col("leader").alias("led"))
         else:
+            named = materialize(named, "named")
             order = F.struct(F.xxhash64("cls", F.lit(level)), "cls", "top")
             sizes = named.groupBy("node").agg(F.count("*").alias("size"), F.min(order).alias("first"), F.min("top").alias("t0"), F.max("top").alias("t1"))
             sizes = sizes.where("t0 <> t1").select("node", "size", F.col("first.cls").alias("leader"), F.col("first.top").alias("led"))
         live = materialize(named.join(sizes, "node"), "nodes")
+        small.append(live.where(F.col("size") <= SMALL).select("node", "cls"))
         large = live.where(F.col("size") > SMALL)
-        stars = large.where("cls <> leader AND top <> led").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
-        possible.append(materialize(_small_pairs(live.where(F.col("size") <= SMALL).select("node", "cls"), classes).unionAll(_possible(stars, classes)), "possible"))
-        left = not large.isEmpty()
-        last = left and level >= LEVELS
-        if last:  # the exact rest: across components, within the nodes that no level could split
-            x, y = (large.select("node", F.col("cls").alias(c), F.col("top").alias(f"top_{c}")) for c in "ab")
-            rest = x.join(y, "node").where("a < b AND top_a <> top_b").select("a", "b").distinct()
-            possible.append(materialize(_possible(rest, classes), "possible"))
-        if level >= FREE or not left:
-            pairs = possible[0]
-            for p in possible[1:]:
-                pairs = pairs.unionAll(p)
-            new = _confirmed(pairs.distinct(), sketches, docs, size)
-            links = materialize(new if links is None else links.unionAll(new), "links")
-            tops = materialize(components(links), "tops").select(F.col("node").alias("__cls"), "root")
-            possible = []
-        if last or not left:
-            return tops.select(F.col("__cls").alias("node"), "root")
-        nodes = materialize(_children(large, classes), "children")
-        level += 1
+        if large.isEmpty():
+            break
+        if level >= FREE:
+            stars = large.where("cls <> leader AND top <> led").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
+            confirm(_possible(stars.distinct(), classes))
+        if level == LEVELS:  # the exact rest: across components, within the nodes that no level could split
+            rest = materialize(_named(large, tops), "named")
+            x, y = (rest.select("node", F.col("cls").alias(c), F.col("top").alias(f"top_{c}")) for c in "ab")
+            confirm(_possible(x.join(y, "node").where("a < b AND top_a <> top_b").select("a", "b").distinct(), classes))
+        else:
+            nodes = materialize(_children(large, classes), "children")
+
+    leaves = small[0]
+    for x in small[1:]:
+        leaves = leaves.unionAll(x)
+    forest = materialize(_node_pairs(_named(leaves, tops), classes, first=True), "forest")
+    confirm(forest.where("a IS NOT NULL"))
+    again = forest.where("a IS NULL").select("node").distinct()
+    if not again.isEmpty():
+        named = materialize(_named(leaves.join(again, "node", "left_semi"), tops), "named")
+        several = named.groupBy("node").agg(F.min("top").alias("t0"), F.max("top").alias("t1")).where("t0 <> t1").select("node")
+        confirm(_node_pairs(named.join(several, "node", "left_semi"), classes, first=False))
+    return tops
 
 
 def _labelled(docs: DataFrame, size: int) -> DataFrame:
     """near_duplicates() with the rows' keys."""
     sketches = materialize(sketch(docs, size), "sketch")
-    roots = link_classes(sketches.select("__row", "cls", "n", "sig"), docs, size)
+    roots = link_classes(sketches, docs, size)
     slim = sketches.select("doc_id", "__row", "n", "cls")
     of_class = slim.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = of_class.join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")

@@ -75,7 +75,7 @@ def lorenz(df: DataFrame, count: str, unit: str) -> DataFrame:
     before_units, before_mass = F.col("units") - F.col("m"), F.col("mass") - F.col("c") * F.col("m")
 
     def units_for(t: float):  # the first unit at which the cumulated share reaches t
-        need = F.ceil(F.round((t * F.col("total") - before_mass) / F.col("c"), 9))
+        need = F.ceil(F.round(F.try_divide(t * F.col("total") - before_mass, F.col("c")), 9))
         return F.min(F.when(F.col("mass") >= t * F.col("total") - 1e-9, before_units + F.greatest(F.lit(1), need)))
 
     def mass_in(k: float):

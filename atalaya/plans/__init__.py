@@ -1,4 +1,4 @@
 """All queries over the domain tables; importing this package registers them."""
 
-from . import sql_queries  # noqa: F401
+from . import panel_queries, spatial_queries, sql_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -17,7 +17,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if oracle:
-            ORACLES[name] = f"WITH {BINDINGS_SQL}{oracle.strip()}" if oracle.strip().startswith(",") else f"WITH {BINDINGS_SQL} {oracle.strip()}"
+            ORACLES[name] = f"WITH RECURSIVE {BINDINGS_SQL}{oracle.strip()}" if oracle.strip().startswith(",") else f"WITH RECURSIVE {BINDINGS_SQL} {oracle.strip()}"
         return f
 
     return add

@@ -95,7 +95,7 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return e.select((F.col("u") * 1000000 + F.col("v")).alias("seg"), "x1", "y1", "x2", "y2")
 
 
-@query("j18_nearest_segment", _SEGMENTS + " SELECT poi_id, seg, round(dist, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY round(dist, 6), seg) AS rn FROM near WHERE dist <= 250) r WHERE rn = 1")
+@query("j18_nearest_segment", _SEGMENTS + " SELECT poi_id, seg, round(round(dist, 6), 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY round(dist, 6), seg) AS rn FROM near WHERE dist <= 250) r WHERE rn = 1")
 def j18_nearest_segment(spark: SparkSession, d: str) -> DataFrame:
     found = spatial.points_near_segments(points(spark, d), segments(spark, d), 250.0, "poi_id", "seg").withColumn("dist", F.round("dist", 6))
     best = found.groupBy("poi_id").agg(F.min(F.struct("dist", "seg")).alias("b"))

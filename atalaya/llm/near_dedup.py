@@ -6,11 +6,13 @@ a sketch (PLACES minwise values, one byte each) that the node's own path chooses
 of the nodes, so that a class of similarity 0.75 is expected to stay with another once a level, whatever the depth.
 
 Nodes of at most SMALL classes are compared exhaustively by their sketches. What may be linked (AGREE places or more: 3.7
-standard deviations below 0.75) is confirmed on the full sets, recomputed from the texts of just those classes, in two
-rounds: first each node's spanning forest of the most similar pairs, then, in nodes that have more such pairs, all that
-the components of the first round leave apart. So a group of near copies costs its size, and no possible link is left
-out. Larger nodes are branched further. From level FREE on they are also compared with a leader, another one each level,
-and nodes whose classes are all in one component end; what is still large after LEVELS is compared across components.
+standard deviations below 0.75) is confirmed on full sets, recomputed from the texts of just those classes, in two rounds:
+first each node's spanning forest of the most similar pairs; then, in nodes where components of the first round may still
+be linked, the classes in question meet with their sets, and the node's exact links between components are found by
+counting shared shingles. Either round gives less than one pair a class and node, so a group of near copies costs its
+size in rows, and no possible link is left out. Larger nodes are branched further. From level FREE on they are also
+compared with a leader, another one each level, and nodes whose classes are all in one component end; what is still
+large after LEVELS is compared across components.
 
 Recall of a link of similarity exactly 0.75 over 16 trees is above 0.999 where nodes are small by the second level;
 links of higher similarity are surer. Confirmed links are exact.
@@ -38,7 +40,7 @@ SHINGLE = 5
 PERCENT = 75
 PLACES = 128
 TREES = 16
-SMALL = 512
+SMALL = 4096
 FREE = 4
 LEVELS = 10
 #: Sketches that agree in fewer places rule a pair out.
@@ -100,78 +102,114 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _agreeing(ids: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, tops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The possible pairs (i < j) of a node's classes with different tops, and in how many places they agree."""
-    found = []
-    for at in range(0, len(ids), 64):
-        agree = (sigs[at : at + 64, None, :] == sigs[None, :, :]).sum(2)
-        n = np.minimum.outer(sizes[at : at + 64], sizes) * 100 >= PERCENT * np.maximum.outer(sizes[at : at + 64], sizes)
-        i, j = np.nonzero((agree >= AGREE) & n & (tops[at : at + 64, None] != tops[None, :]))
-        later = j > i + at
-        found.append((i[later] + at, j[later], agree[i[later], j[later]]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
-
-
-def _forest(i: np.ndarray, j: np.ndarray, agree: np.ndarray, n: int) -> list[int]:
-    """Places of the pairs that make a spanning forest, the most similar first."""
-    up, kept = list(range(n)), []
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for k in np.lexsort((j, i, -agree)).tolist():
-        a, b = find(int(i[k])), find(int(j[k]))
-        if a != b:
-            up[b] = a
-            kept.append(k)
+def _agreement(sizes: np.ndarray, sigs: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    """In how many places the classes of a node agree (a square, at most SMALL wide); 0 where no new link is possible."""
+    out = np.zeros((len(sizes), len(sizes)), np.uint8)
+    step = max(1, (1 << 23) // (PLACES * len(sizes)))
+    for at in range(0, len(sizes), step):
+        rows = slice(at, at + step)
+        agree = (sigs[rows, None, :] == sigs[None, :, :]).sum(2).astype(np.uint8)
+        possible = (agree >= AGREE) & (tops[rows, None] != tops[None, :])
+        possible &= 100 * np.minimum.outer(sizes[rows], sizes) >= PERCENT * np.maximum.outer(sizes[rows], sizes)
+        out[rows] = np.where(possible, agree, 0)
+    return out
+
+
+def _join(labels: np.ndarray, i: int, near: np.ndarray, weight: np.ndarray) -> list[int]:
+    """Join i with the heaviest of near in each component that is not i's; the ones taken."""
+    near = near[np.argsort(-weight.astype(np.int64), kind="stable")]
+    found, first = np.unique(labels[near], return_index=True)
+    labels[np.isin(labels, found)] = labels[i]
+    return near[first].tolist()
+
+
+def _forest(agree: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the possible pairs, the most similar first, in steps of six places."""
+    labels, kept = np.arange(len(agree)), []
+    rows = np.flatnonzero(agree.any(1)).tolist()
+    for least in range(PLACES - 6, AGREE - 6, -6):
+        for i in rows:
+            near = np.flatnonzero((agree[i] >= max(least, AGREE)) & (labels != labels[i]))
+            if len(near):
+                kept += [(i, j) for j in _join(labels, i, near, agree[i, near])]
     return kept
 
 
-def _node_pairs(nodes: DataFrame, classes: DataFrame, first: bool) -> DataFrame:
-    """(node, a, b) within nodes (node, cls, top): the forest if first, with (node, null, null) where there are more; else all."""
+def _node_rows(nodes: DataFrame, classes: DataFrame, first: bool) -> DataFrame:
+    """Over nodes (node, cls, top). If first, (node, a, b): the forest of possible pairs, and (node, null, null) where there
+    are more of them; else (node, a, null): the classes that may be linked with another component's."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            more = []
-            for node, ids, sizes, tops, sigs in zip(*(part.column(k).to_pylist() for k in ("node", "ids", "sizes", "tops", "sigs")), strict=True):
-                order = np.argsort(ids)
-                c, n, t = np.array(ids)[order], np.array(sizes)[order], np.array(tops)[order]
-                i, j, agree = _agreeing(c, n, np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, PLACES)[order], t)
-                if first and len(i):
-                    kept = _forest(i, j, agree, len(c))
-                    if len(kept) < len(i):
-                        more.append(node)
-                    i, j = i[kept], j[kept]
-                out.append((np.full(len(i), node, np.int64), c[i], c[j]))
-            if out:
-                node, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(node), pa.array(more, pa.int64())]), *(pa.concat_arrays([pa.array(x.astype(np.int64)), pa.nulls(len(more), pa.int64())]) for x in (a, b))], names=["node", "a", "b"])
+            for node, ids, sizes, tops, sigs in zip(*(part.column(k) for k in ("node", "ids", "sizes", "tops", "sigs")), strict=True):
+                c, n, t = (x.values.to_numpy() for x in (ids, sizes, tops))
+                order = np.argsort(c)
+                agree = _agreement(n[order], np.frombuffer(b"".join(sigs.values.to_pylist()), np.uint8).reshape(-1, PLACES)[order], t[order])
+                if not agree.any():
+                    continue
+                c, a, b = c[order], [], []
+                if first:
+                    kept = _forest(agree)
+                    a, b = [int(c[min(p)]) for p in kept], [int(c[max(p)]) for p in kept]
+                    if 2 * len(kept) < np.count_nonzero(agree):
+                        a.append(None)
+                        b.append(None)
+                else:
+                    a = c[agree.any(1)].tolist()
+                    b = [None] * len(a)
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["node", "a", "b"])
 
     lists = nodes.join(classes.select("cls", "n", "sig"), "cls").groupBy("node")
     lists = lists.agg(F.collect_list("cls").alias("ids"), F.collect_list("n").alias("sizes"), F.collect_list("top").alias("tops"), F.collect_list("sig").alias("sigs"))
     return lists.mapInArrow(run, "node long, a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked by their full sets."""
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
+def _exact_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the links between components within nodes (node, cls, top), by full sets."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            for ids, tops, items in zip(*(part.column(k) for k in ("ids", "tops", "sets")), strict=True):
+                c, t, lists = ids.values.to_numpy(), tops.values.to_numpy(), items.values
+                sizes = lists.value_lengths().to_numpy().astype(np.int64)
+                owner = np.repeat(np.arange(len(c)), sizes)
+                _, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+                held = owner[np.argsort(place, kind="stable")]  # owners by shingle
+                end = np.cumsum(np.bincount(place))
+                begin, ends, kept = end - np.bincount(place), np.cumsum(sizes), []
+                labels = np.unique(t, return_inverse=True)[1]
+                for i in range(len(c)):
+                    own = place[ends[i] - sizes[i] : ends[i]]
+                    both = np.bincount(np.concatenate([held[begin[s] : end[s]] for s in own]), minlength=len(c))
+                    near = np.flatnonzero((100 * both >= PERCENT * (sizes[i] + sizes - both)) & (labels != labels[i]))
+                    if len(near):
+                        kept += [(c[i], c[j]) for j in _join(labels, i, near, both[near])]
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.min(kept, 1)), pa.array(np.max(kept, 1))], names=["a", "b"])
+
+    lists = nodes.join(sets, "cls").groupBy("node").agg(F.collect_list("cls").alias("ids"), F.collect_list("top").alias("tops"), F.collect_list("items").alias("sets"))
+    return lists.select("ids", "tops", "sets").mapInArrow(run, "a long, b long")
+
+
+def _sets(wanted: DataFrame, sketches: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(cls, items): the full sets of the classes in wanted (cls), written out."""
     # One row stands for its class; its text is found by the row's key.
-    wanted = sketches.where("cls IS NOT NULL").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("__row").alias("__row"))
+    wanted = sketches.where("cls IS NOT NULL").join(wanted.distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("__row").alias("__row"))
     wanted = sized(materialize(wanted, "wanted"))
     keyed = documents(docs).withColumn("__row", row_key(F.col("doc_id"), F.col("text")))
-    texts = keyed.join(wanted, "__row").select("cls", "text")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in batches(rows):
             sets = [x.view(np.int64) for x in shingle_sets(data, offsets, size)]
             yield pa.RecordBatch.from_arrays([part.column("cls"), pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate(sets))], names=["cls", "items"])
 
-    sets = materialize(texts.mapInArrow(run, "cls long, items array<long>"), "sets")
+    return materialize(keyed.join(wanted, "__row").select("cls", "text").mapInArrow(run, "cls long, items array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked by their full sets."""
+    pairs = materialize(pairs, "pairs")
+    sets = _sets(pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))), sketches, docs, size)
     joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return joined.where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b")
@@ -191,12 +229,14 @@ def link_classes(sketches: DataFrame, docs: DataFrame, size: int = SHINGLE) -> D
     nodes, links, tops = classes.select(F.explode("roots").alias("node"), "cls"), None, None
     small: list[DataFrame] = []
 
-    def confirm(pairs: DataFrame) -> None:
+    def add(new: DataFrame) -> None:
         nonlocal links, tops
-        new = _confirmed(pairs.select("a", "b").distinct(), sketches, docs, size)
         links = materialize(new if links is None else links.unionAll(new), "links")
         tops = materialize(components(links), "tops")
 
+    def confirm(pairs: DataFrame) -> None:
+        add(_confirmed(pairs.select("a", "b").distinct(), sketches, docs, size))
+
     for level in range(1, LEVELS + 1):
         named = _named(nodes, tops)
         if tops is None:
@@ -225,13 +265,16 @@ def link_classes(sketches: DataFrame, docs: DataFrame, size: int = SHINGLE) -> D
     leaves = small[0]
     for x in small[1:]:
         leaves = leaves.unionAll(x)
-    forest = materialize(_node_pairs(_named(leaves, tops), classes, first=True), "forest")
+    forest = materialize(_node_rows(_named(leaves, tops), classes, first=True), "forest")
     confirm(forest.where("a IS NOT NULL"))
     again = forest.where("a IS NULL").select("node").distinct()
     if not again.isEmpty():
         named = materialize(_named(leaves.join(again, "node", "left_semi"), tops), "named")
         several = named.groupBy("node").agg(F.min("top").alias("t0"), F.max("top").alias("t1")).where("t0 <> t1").select("node")
-        confirm(_node_pairs(named.join(several, "node", "left_semi"), classes, first=False))
+        open_rows = materialize(_node_rows(named.join(several, "node", "left_semi"), classes, first=False).select("node", F.col("a").alias("cls")), "open")
+        if not open_rows.isEmpty():
+            sets = _sets(open_rows.select("cls"), sketches, docs, size)
+            add(_exact_links(_named(open_rows, tops), sets))
     return tops
 
 

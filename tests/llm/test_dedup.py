@@ -75,10 +75,11 @@ def near_rows(n=60, variants=40):
     return list(enumerate(texts)) + [(3, texts[3])]
 
 
-@pytest.mark.parametrize("small", [24, 4])
+@pytest.mark.parametrize("small", [4096, 6])
 def test_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "FREE", 1 if small == 4 else 3)
+    monkeypatch.setattr(near_dedup, "FREE", 1 if small == 6 else 4)
+    monkeypatch.setattr(near_dedup, "LEVELS", 3)
     rows = near_rows()
     got = near_dedup.near_duplicates(frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(rows)

@@ -175,3 +175,23 @@ def test_line_dedup_edges(spark):
     docs = frame(spark, [(1, "Same line\nown words here"), (2, "same, LINE")]).selectExpr("*", "1 AS key", "2 AS at", "3 AS line_no", "4 AS top")
     kept = line_dedup.drop_repeated_lines(docs).collect()
     assert [(r.doc_id, r.text, r.n_chars) for r in kept] == [(1, "Same line\nown words here", 24)]
+
+
+def test_line_dedup_finds_one_word_and_one_typo(spark):
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnoprstu", k=rng.choice([2, 3, 3, 4, 5, 6, 7, 8, 9, 11]))) for _ in range(3000)]
+    rows, classes = [], {}
+    for low, high in ((1, 3), (6, 10), (11, 20), (21, 50), (51, 100), (101, 160)):
+        for _ in range(25):
+            w = rng.choices(vocabulary, k=rng.randint(low, high))
+            word, typo = list(w), list(" ".join(w))
+            word[rng.randrange(len(w))] = rng.choice(vocabulary)
+            typo[rng.choice([i for i, x in enumerate(typo) if x != " "])] = "z"
+            for variant in (" ".join(word), "".join(typo)):
+                if variant != " ".join(w) and similar(" ".join(w), variant):
+                    classes.setdefault(low, []).append(len(rows) + 1)
+                    rows += [(len(rows), " ".join(w)), (len(rows) + 1, variant)]
+    got = {r.doc_id: r.n_kept for r in line_dedup.line_report(frame(spark, rows)).collect()}
+    for low, ids in classes.items():
+        assert len(ids) >= 15, low
+        assert sum(got[i] == 0 for i in ids) >= 0.95 * len(ids), low

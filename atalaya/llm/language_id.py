@@ -25,8 +25,6 @@ from ._common import DOC_COLUMNS, batches, held_out
 BUCKETS = 1 << 16
 GRAM = 4
 ROUNDS = 12
-#: Documents whose likeliest language has less than this share are rejected by keep_identified().
-LEAST_SHARE = 0.4
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91] += 32
@@ -160,7 +158,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, whose language is found and has at least LEAST_SHARE of the words."""
+    """The documents, all columns, whose languages are found, one or several: all but those that identify() calls und."""
     langs, logs = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(logs)
     flat = docs.select(*DOC_COLUMNS)
@@ -168,6 +166,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in batches(rows, 2 << 20):
             shares, _ = infer(shared.value, data, offsets)
-            yield part.filter(pa.array(shares.max(1) >= LEAST_SHARE if langs else np.zeros(part.num_rows, bool)))
+            yield part.filter(pa.array(shares.sum(1) > 0 if langs else np.zeros(part.num_rows, bool)))
 
     return flat.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, flat.schema)

@@ -44,6 +44,15 @@ def test_language_edges(spark):
     assert {r.text for r in language_id.keep_identified(docs).collect()} == {"some english words"}
 
 
+def test_language_keeps_even_mixtures(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    langs = sorted(r.lang for r in docs.select("lang").distinct().collect() if r.lang)
+    by = {x: " ".join(r.text for r in docs.where(f"lang = '{x}' AND n_chars > 500").limit(5).collect())[:3000] for x in langs}
+    mixed = [(900_001, " ".join(by[x] for x in langs[:3]), None, "s", 9000), (900_002, " ".join(by[x] for x in langs[:4]), None, "s", 12000), (900_003, "123 !", None, "s", 5)]
+    kept = language_id.keep_identified(docs.unionAll(spark.createDataFrame(mixed, docs.schema))).where("doc_id > 900000").collect()
+    assert sorted(r.doc_id for r in kept) == [900_001, 900_002]
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")

@@ -5,9 +5,11 @@ items, so only those that hold one are fingerprinted: each shared shingle, at th
 The 64-bit SimHash of a window's words is looked up among items of its length: fingerprints within RADIUS differ in at
 most RADIUS bits, so of RADIUS + 1 blocks at least one is equal, and the block tables miss none. Candidates are verified
 by the exact weighted Jaccard similarity of their five-word shingles (items of fewer words: the whole sequence), where a
-shingle weighs the more, the fewer items hold it; 0.75 or more is a match.
+shingle weighs the more, the fewer items hold it; 0.75 or more is a match. Items that share no shingle with a text have
+similarity 0 and are not verified for it.
 
-The benchmark is cut into blocks of ITEMS items, each searched in one pass over the documents; that bounds the broadcast.
+The benchmark is cut into blocks of ITEMS items. Weights come from all items, so a pair's similarity is the same however
+the benchmark is cut.
 
 Defined results: null and empty texts, and items without words, match nothing; a text shorter than an item is one window;
 repeated rows are searched alike; equal items all match; very long texts are read whole.
@@ -28,10 +30,13 @@ from ._words import U, shingles, words
 
 SHINGLE = 5
 LEAST = 0.75
-RADIUS = 16
+#: Twice the distance expected of an item without a seventh of its words, and over four deviations beyond it.
+RADIUS = 24
 #: Items of one pass at most.
 ITEMS = 20_000
 _FILTER = 1 << 22
+#: Pairs of fingerprints compared at once, per block.
+_PAIRS = 1 << 22
 
 
 def simhash(rows: np.ndarray) -> np.ndarray:
@@ -63,6 +68,12 @@ class HammingIndex:
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (place in prints, place in the index) within the radius, each once."""
+        step = max(1, _PAIRS // max(1, len(self.prints)))
+        parts = [self._near(prints[i : i + step], i) for i in range(0, len(prints), step)]
+        pairs = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
+
+    def _near(self, prints: np.ndarray, start: int) -> np.ndarray:
         found = []
         for (values, order), wanted in zip(self.tables, block_values(prints, self.radius), strict=True):
             lo, hi = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
@@ -70,22 +81,40 @@ class HammingIndex:
             left = np.repeat(np.arange(len(prints)), n)
             right = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)]
             close = np.bitwise_count(prints[left] ^ self.prints[right]) <= self.radius
-            found.append(left[close] * len(self.prints) + right[close])
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
+            found.append((left[close] + start) * len(self.prints) + right[close])
+        return np.unique(np.concatenate(found))
+
+
+class Weights:
+    """The weights of word shingles: the more, the fewer of all items hold one; the most if none does."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        sets = [np.unique(shingles(x, min(SHINGLE, len(x)))) for _, x in _item_words(items)]
+        self.keys, held = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, U), np.zeros(0, int))
+        self.top = float(np.log1p(len(sets))) or 1.0
+        self.weights = np.log1p(len(sets) / np.maximum(held, 1))
+
+    def of(self, found: np.ndarray) -> float:
+        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        return float(np.where(self.keys[at] == found, self.weights[at], self.top).sum())
+
+
+def _item_words(items: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
+    """(item_id, hashes of its words) of the items that have words."""
+    raw = [x.encode() for _, x in items]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    w = words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    spans = [(int(a), int(b)) for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
+    return [(items[k][0], w.hashes[a:b]) for k, (a, b) in enumerate(spans) if b > a]
 
 
 class Benchmark:
-    """Items' shingles with their places, weights, and fingerprints by number of words."""
+    """Items' shingles with their places, and fingerprints by number of words."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        raw = [x.encode() for _, x in items]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        w = words(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        spans = [(int(a), int(b)) for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
-        kept = [k for k, (a, b) in enumerate(spans) if b > a]
-        self.ids = [items[k][0] for k in kept]
-        self.hashes = [w.hashes[spans[k][0] : spans[k][1]] for k in kept]
+        kept = _item_words(items)
+        self.ids = [i for i, _ in kept]
+        self.hashes = [x for _, x in kept]
         self.sizes = np.array([len(x) for x in self.hashes], np.int64)
         runs = [shingles(x, min(SHINGLE, len(x))) for x in self.hashes]
         self.sets = [np.unique(x) for x in runs]
@@ -97,9 +126,6 @@ class Benchmark:
         self.owner, self.place = owner[order], place[order]
         self.keys, self.first = np.unique(flat[order], return_index=True)
         self.last = np.append(self.first[1:], len(flat))
-        held = np.unique(np.concatenate(self.sets), return_counts=True)[1] if runs else np.zeros(0, int)
-        self.top = float(np.log1p(len(runs))) or 1.0
-        self.weights = np.log1p(len(runs) / np.maximum(held, 1))
         self.maybe = np.zeros(_FILTER, bool)
         self.maybe[self.keys & U(_FILTER - 1)] = True
         self.by_size = {}
@@ -107,19 +133,15 @@ class Benchmark:
             own = np.flatnonzero(self.sizes == n)
             self.by_size[n] = (own, HammingIndex(simhash(np.stack([self.hashes[k] for k in own])), RADIUS))
 
-    def weight(self, of: np.ndarray) -> float:
-        at = np.minimum(np.searchsorted(self.keys, of), len(self.keys) - 1)
-        return float(np.where(self.keys[at] == of, self.weights[at], self.top).sum())
-
-    def similarity(self, window: np.ndarray, item: int) -> float:
+    def similarity(self, window: np.ndarray, item: int, weights: Weights) -> float:
         """Weighted Jaccard similarity of a window of words and an item."""
         a, b = np.unique(shingles(window, min(SHINGLE, len(window), int(self.sizes[item])))), self.sets[item]
-        both = self.weight(np.intersect1d(a, b, assume_unique=True))
-        return both / (self.weight(a) + self.weight(b) - both)
+        both = weights.of(np.intersect1d(a, b, assume_unique=True))
+        return both / (weights.of(a) + weights.of(b) - both)
 
-    def windows(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(first word, words, text) of the windows that a shared shingle fixes, each once."""
-        out = []
+    def windows(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, words, text) of the windows that a shared shingle fixes, each once; text * items + item that share one."""
+        out, shared = [], []
         for width in self.widths:
             runs = shingles(hashes, width)
             at = np.flatnonzero(self.maybe[runs & U(_FILTER - 1)])
@@ -136,15 +158,16 @@ class Benchmark:
             whole = at + width <= hi  # the shingle does not reach into the next text
             first = np.clip(at - self.place[post], lo, np.maximum(lo, hi - size))
             out.append(np.stack([first, size, text], 1)[whole])
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+            shared.append((text * len(self.ids) + self.owner[post])[whole])
+        return np.unique(np.concatenate(out), axis=0), np.unique(np.concatenate(shared))
 
-    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[dict[int, float]]:
+    def search(self, data: np.ndarray, offsets: np.ndarray, weights: Weights) -> list[dict[int, float]]:
         """For each text the items that match and their best similarity."""
         found: list[dict[int, float]] = [{} for _ in range(len(offsets) - 1)]
         if not self.ids:
             return found
         w = words(data, offsets)
-        windows = self.windows(w.hashes, w.bounds)
+        windows, shared = self.windows(w.hashes, w.bounds)
         for n in np.unique(windows[:, 1]).tolist():
             own, index = self.by_size[n]
             part = windows[windows[:, 1] == n]
@@ -152,30 +175,34 @@ class Benchmark:
             for size in np.unique(np.minimum(room, n)).tolist():  # less than n only where the text is shorter
                 rows = part[np.minimum(room, n) == size]
                 prints = simhash(w.hashes[rows[:, 0][:, None] + np.arange(size)])
-                for k, item in zip(*index.near(prints), strict=True):
+                near, items = index.near(prints)
+                sharing = np.isin(rows[near, 2] * len(self.ids) + own[items], shared)
+                for k, item in zip(near[sharing], items[sharing], strict=True):
                     first, _, text = rows[k].tolist()
-                    got = self.similarity(w.hashes[first : first + size], int(own[item]))
+                    got = self.similarity(w.hashes[first : first + size], int(own[item]), weights)
                     if got >= LEAST - 1e-9:  # sums of weights may round an exact 0.75 down
                         name = self.ids[own[item]]
                         found[text][name] = max(got, found[text].get(name, 0.0))
         return found
 
 
-def _benchmarks(benchmark: DataFrame) -> list[Benchmark]:
-    """The benchmark by blocks of ITEMS items, read in order of item_id."""
+def _benchmarks(benchmark: DataFrame) -> tuple[list[Benchmark], Weights]:
+    """The benchmark by blocks of ITEMS items, read in order of item_id, and the weights over all of it."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     rows = [(r.item_id, r.text) for r in items.orderBy("item_id", "text").toLocalIterator()]
-    return [Benchmark(rows[i : i + ITEMS]) for i in range(0, len(rows), ITEMS)]
+    return [Benchmark(rows[i : i + ITEMS]) for i in range(0, len(rows), ITEMS)], Weights(rows)
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, items (sorted item_ids that match), similarity (the best; 0 without) of each document."""
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in _benchmarks(benchmark)]
+    blocks, weights = _benchmarks(benchmark)
+    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks]
+    weights = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in batches(rows):
-            found = [reduce(lambda a, b: a | b, x, {}) for x in zip(*[s.value.search(data, offsets) for s in shared], strict=True)] or [{}] * part.num_rows
+            found = [reduce(lambda a, b: a | b, x, {}) for x in zip(*[s.value.search(data, offsets, weights.value) for s in shared], strict=True)] or [{}] * part.num_rows
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([bool(x) for x in found]), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in found], pa.float64())],
                 names=["doc_id", "contaminated", "items", "similarity"],
@@ -187,11 +214,13 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that match no item."""
     flat = docs.select(*DOC_COLUMNS)
-    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in _benchmarks(benchmark)]
+    blocks, weights = _benchmarks(benchmark)
+    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks]
+    weights = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in batches(rows):
-            bad = [any(x) for x in zip(*[s.value.search(data, offsets) for s in shared], strict=True)] or [False] * part.num_rows
+            bad = [any(x) for x in zip(*[s.value.search(data, offsets, weights.value) for s in shared], strict=True)] or [False] * part.num_rows
             yield part.filter(pa.array([not x for x in bad]))
 
     return flat.mapInArrow(run, flat.schema)

@@ -115,6 +115,31 @@ def test_decontamination(spark):
     assert decontamination.find_contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_edge_cuts_stay_within_the_radius():
+    rng = np.random.default_rng(6)
+    for size in (18, 25, 39, 60, 102):
+        cut = (size - 4) // 7  # of size - 4 shingles 6/7 are left: a similarity of 0.75
+        item = rng.integers(0, 1 << 64, (4000, size), np.uint64)
+        window = np.concatenate([item[:, cut:], rng.integers(0, 1 << 64, (4000, cut), np.uint64)], 1)
+        far = np.bitwise_count(decontamination.simhash(item) ^ decontamination.simhash(window))
+        assert far.max() <= decontamination.RADIUS, size
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
+    common = " ".join(rng.choices(vocabulary, k=9))
+    items = [(i, f"{common} {' '.join(rng.choices(vocabulary, k=24))}") for i in range(20)]
+    texts = [(i, " ".join([*t.split()[: 33 - i % 4], "x y z"])) for i, t in items]
+    docs, benchmark = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for size in (20_000, 3):
+        monkeypatch.setattr(decontamination, "ITEMS", size)
+        got.append(sorted((r.doc_id, list(r["items"]), round(r.similarity, 9)) for r in decontamination.find_contaminated(docs, benchmark).collect()))
+    assert got[0] == got[1]
+    assert any(x[1] for x in got[0])
+
+
 def test_hamming_index_misses_none():
     prints = np.random.default_rng(1).integers(0, 1 << 63, 60, np.uint64)
     noise = np.array([sum(1 << int(b) for b in np.random.default_rng(i).choice(64, i % 24, replace=False)) for i in range(200)], np.uint64)

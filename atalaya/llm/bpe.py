@@ -3,7 +3,7 @@
 The last token of a prefix's encoding settles the rest: what stands before it is the encoding of the shorter prefix. So
 each trie node needs only its last token, found from the states of its ancestors, and prefixes that words share are
 solved once. The distinct words of a batch are put into the trie in sorted order; the walk keeps one state per depth.
-Words and chunks met before are taken from a bounded store of the worker, which changes nothing but the time.
+Words and chunks met before are taken from a bounded store, emptied as a task ends, which changes nothing but the time.
 
 Defined results: a null text is empty and has no tokens; very long words are walked like others (time in proportion to
 their length); repeated rows are encoded alike. Special tokens written out in a text are those tokens, as the library
@@ -12,6 +12,7 @@ has it; decoding writes token strings joined by one space, as the file names no
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 
 from ._common import batches, documents
 
-#: Chunks kept by a worker; when there are more, the store begins anew.
-KEEP_WORDS = 400_000
+#: Chunks and pairs of tokens kept within a task (about 150 and 30 MB).
+KEEP_WORDS, KEEP_PAIRS = 300_000, 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -61,18 +62,22 @@ class TrieEncoder:
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.piece = regex.compile(pattern.replace(r"\s", ""))
         self.bytes = byte_letters()
+        self.id_names = {v: str(v) for v in self.names}
         self.apart: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, list[int]] = {}
-        #: By chunk of text between white space: number of tokens, ids, token strings.
-        self.counts: dict[str, int] = {}
-        self.id_texts: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
+        #: Of words and of chunks of text between white space: number of tokens, ids and token strings, each joined by a space.
+        self.words: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str, str]] = {}
+
+    def forget(self) -> None:
+        """Drop what was learned from texts."""
+        for store in (self.apart, self.words, self.known):
+            store.clear()
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether left + right, merged by rank from letters, ends as these two tokens."""
         found = self.apart.get((left, right))
         if found is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > KEEP_PAIRS:
                 self.apart.clear()
             found = self.apart[left, right] = self._stay_apart(left, right)
         return found
@@ -94,37 +99,46 @@ class TrieEncoder:
 
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """The tokens of each distinct word, in trie order, sharing the states of common prefixes."""
-        get, apart, letters = self.ids.get, self.apart, self.bytes.__getitem__
+        get, apart, letters, suffix = self.ids.get, self.apart, self.bytes.__getitem__, self.suffix
+        named = sorted([(w if w.isascii() and w.isalpha() else "".join(map(letters, w.encode())), w) for w in words])
         path = ""  # letters from the root to the current node
-        last: list[tuple[int, int]] = [(-1, 0)]  # by depth: last token and its length
-
-        def state(name: str, n: int, suffix: str) -> tuple[int, int]:
-            for k in range(1, min(n, self.longest) + 1):
-                token = get(name[n - k : n] + suffix)
-                if token is not None:
-                    before = last[n - k][0]
-                    if before < 0:
-                        return token, k
-                    ok = apart.get((before, token))
-                    if self.stay_apart(before, token) if ok is None else ok:
-                        return token, k
+        most = max([len(name) for name, _ in named], default=0) + 1
+        tokens, sizes = [-1] * most, [0] * most  # by depth: the last token and its length
+
+        def fits(token: int, before: int) -> bool:
+            ok = apart.get((before, token))
+            return self.stay_apart(before, token) if ok is None else ok
+
+        def settle(name: str, n: int, end: str) -> None:
+            # One length fits. Mostly the last token has grown by this letter, so that length is tried first.
+            grown = sizes[n - 1] + 1
+            for k in (grown, *range(1, grown), *range(grown + 1, min(n, self.longest) + 1)):
+                token = get(name[n - k : n] + end)
+                if token is not None and ((before := tokens[n - k]) < 0 or fits(token, before)):
+                    tokens[n], sizes[n] = token, k
+                    return
             raise ValueError(f"no token ends {name[:n]!r}")
 
-        for name, word in sorted(("".join(map(letters, w.encode())), w) for w in words):
-            inner, same = len(name) - 1, min(len(name) - 1, len(path))
-            if name[:same] != path[:same]:
-                same = next(k for k in range(same) if name[k] != path[k])
-            del last[same + 1 :]
-            for n in range(same + 1, inner + 1):
-                last.append(state(name, n, ""))
-            path = name[:inner]
-            token, k = state(name, inner + 1, self.suffix)  # the leaf
-            out, at = [token], inner + 1 - k
+        for name, word in named:
+            at = len(name)
+            same = min(at - 1, len(path))
+            while name[:same] != path[:same]:
+                same -= 1
+            for n in range(same + 1, at):
+                k = sizes[n - 1] + 1
+                token = get(name[n - k : n])
+                if token is not None and ((before := tokens[n - k]) < 0 or apart.get((before, token))):
+                    tokens[n], sizes[n] = token, k
+                else:
+                    settle(name, n, "")
+            path = name[: at - 1]
+            settle(name, at, suffix)  # the leaf; no other word's path reaches its place
+            out = []
             while at:
-                token, k = last[at]
-                out.append(token)
-                at -= k
-            yield word, out[::-1]
+                out.append(tokens[at])
+                at -= sizes[at]
+            out.reverse()
+            yield word, out
 
     def chunks(self, text: str) -> list[str]:
         """A text between white space; special tokens stand alone. Words never reach across white space."""
@@ -134,23 +148,34 @@ class TrieEncoder:
 
     def learn(self, runs: Iterable[list[str]]) -> None:
         """Solve the chunks that the store lacks."""
+        known, words, ids, names = self.known, self.words, self.id_names, self.names
         new = set(chain.from_iterable(runs))
-        if len(self.counts) + len(new) > KEEP_WORDS:
-            for kept in (self.counts, self.id_texts, self.decoded, self.words):
-                kept.clear()
-        new.difference_update(self.counts)
-        pieces = {}
+        if len(known) + len(new) > KEEP_WORDS:  # what this batch holds again stays
+            again = {x: known[x] for x in new if x in known}
+            known.clear()
+            words.clear()
+            known.update(again)
+        new.difference_update(known)
+        pieces: dict[str, list[str]] = {}
         for x in new:
-            if x not in self.special:
-                low = x if x.isascii() else unicodedata.normalize("NFC", x)
+            if x.isascii():
+                low = x.lower()
+                pieces[x] = [low] if low.isalpha() else self.piece.findall(low)
+            else:
+                low = unicodedata.normalize("NFC", x)
                 low = low.lower() if "Σ" not in low else "".join(map(str.lower, low))
-                pieces[x] = [low] if low.isascii() and low.isalpha() else self.piece.findall(low)
-        self.words.update(self.walk(set(chain.from_iterable(pieces.values())).difference(self.words)))
-        for x in new:
-            tokens = [t for w in pieces[x] for t in self.words[w]] if x in pieces else [self.special[x]]
-            self.counts[x] = len(tokens)
-            self.id_texts[x] = " ".join(map(str, tokens))
-            self.decoded[x] = " ".join(map(self.names.__getitem__, tokens))
+                pieces[x] = self.piece.findall(low)
+        for x in new & self.special.keys():
+            del pieces[x]
+            known[x] = 1, ids[self.special[x]], x
+        for word, tokens in self.walk(set(chain.from_iterable(pieces.values())).difference(words)):
+            words[word] = len(tokens), " ".join([ids[t] for t in tokens]), " ".join([names[t] for t in tokens])
+        for x, own in pieces.items():
+            if len(own) == 1:
+                known[x] = words[own[0]]
+            else:
+                found = [words[w] for w in own]
+                known[x] = sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
 
 
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -175,16 +200,25 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for part, _, _ in batches(rows):
-            runs = [enc.chunks(x or "") for x in part.column("text").to_pylist()]
-            enc.learn(runs)
-            out: list[tuple] = []
-            for chunks in runs:
-                ids, decoded = " ".join(map(enc.id_texts.__getitem__, chunks)), " ".join(map(enc.decoded.__getitem__, chunks))
-                row = (sum(map(enc.counts.__getitem__, chunks)), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                out.append((*row, [int(x) for x in ids.split()], decoded) if texts else row)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds)]  # noqa: B905
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=[x.split()[0] for x in schema.split(", ")])
+        gc.disable()  # the store has no cycles, and walking it again and again takes a third of the time
+        try:
+            for part, _, _ in batches(rows):
+                yield encoded(enc, part)
+        finally:
+            enc.forget()
+            gc.enable()
+
+    def encoded(enc: TrieEncoder, part: pa.RecordBatch) -> pa.RecordBatch:
+        runs = [enc.chunks(x or "") for x in part.column("text").to_pylist()]
+        enc.learn(runs)
+        out: list[tuple] = []
+        for chunks in runs:
+            found = list(map(enc.known.__getitem__, chunks))
+            ids, decoded = " ".join([f[1] for f in found if f[0]]), " ".join([f[2] for f in found if f[0]])
+            row = (sum([f[0] for f in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+            out.append((*row, [int(x) for x in ids.split()], decoded) if texts else row)
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds)]  # noqa: B905
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=[x.split()[0] for x in schema.split(", ")])
 
     return documents(docs).mapInArrow(run, schema)

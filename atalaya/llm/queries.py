@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontamination, language_id, line_dedup, near_dedup, pii, quality, secrets, telephony, url_filters
 
-#: Where the public tokenizer files lie on every machine.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def tokenizer(name: str) -> str:
+    """A public tokenizer file, which every machine has: in $TOKENIZERS_DIR if set, else as its package says."""
+    if folder := os.environ.get("TOKENIZERS_DIR"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +49,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from atalaya.llm import bpe, queries, telephony, url_filters
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
-WORD_BPE = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+WORD_BPE = queries.tokenizer("word_bpe_49k.json")
 TEXTS = [
     None, "", " \n\t", "Hello World's  don't<|endoftext|>é ΑΣ 123<|startoftext|><|endoftext", "a" * 500, "İx ſ'S ́é ｆｕｌｌ ５ ²³ x\x1fy\x85z\u200b 日本語テスト 🎉🎉👍🏽 naïve ñ",
     "'s't''re I'LL we'Ve", "ΑΣ'ΣΣ", "K", "#" * 1000, "x" * 100_000, "e\u0301 e\u0301", "<|endoftext|>", "a<|endoftext|>b",

@@ -100,3 +100,24 @@ def percent_rank_average(value: Column, *by: str | Column) -> Column:
 def share_top(n: Column, k: float) -> Column:
     """How many of n make up the top share k: half-even rounding, one at least."""
     return F.greatest(F.lit(1), F.bround(n * F.lit(k)).cast("int"))
+
+
+def slug(text: Column) -> Column:
+    """A key of a name: folded, lower case, words joined by underscores."""
+    return F.replace(F.lower(fold_name(text)), F.lit(" "), F.lit("_"))
+
+
+def as_list(text: Column) -> Column:
+    """A JSON list of texts, or a single value, as an array; null is an empty one."""
+    listed = F.from_json(text, "array<string>")
+    return F.when(text.isNull(), F.array().cast("array<string>")).when(text.startswith("["), listed).otherwise(F.array(text))
+
+
+def capacity(text: Column) -> Column:
+    """The first number in a text, dots taken for thousands; null if there is none."""
+    return F.replace(F.regexp_extract(text, r"([0-9][0-9.]*)", 1), F.lit("."), F.lit("")).try_cast("double")
+
+
+def crown_radius(trunk_cm: Column, height_m: Column) -> Column:
+    """A tree's drawn crown: by its trunk, or by its height where that is unknown; within fixed bounds."""
+    return F.when(trunk_cm > 0, F.least(F.lit(6.0), F.greatest(F.lit(1.2), 0.08 * trunk_cm))).otherwise(F.least(F.lit(5.0), F.greatest(F.lit(1.2), 0.22 * height_m)))

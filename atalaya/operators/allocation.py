@@ -8,38 +8,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent_rank_average
+from .tables import cut
 
-PLAN = "step int, candidate long, gain double, covered double, floor boolean"
+PLAN = "step int, candidate long, gain double, covered double, floor boolean, bound double"
 
 
 def greedy_cover(coverage: DataFrame, demand: DataFrame, k: int, floor: str | None = None) -> DataFrame:
-    """A plan of at most k sites: step, candidate, gain, covered (share of all weight so far), floor.
+    """A plan of at most k sites: step, candidate, gain, covered (share of all weight so far), floor, bound.
 
     coverage (candidate, demand), demand (demand, weight, and the group column of the floor). Each step is one join and
     sum over what is still uncovered, and takes the site of largest gain (ties: lower id). With a floor, groups that some
-    site can reach come first: while one has no covered demand, only gains in such groups count. Only the k chosen rows
-    reach the driver.
+    site can reach come first: while one has no covered demand, only gains in such groups count. One job a step brings the
+    k best sites, at most k rows. bound: no plan of k sites, with or without floor, covers a larger share; the least,
+    over the steps so far at which no group is open, of what is covered plus the k largest gains left.
     """
-    spark = coverage.sparkSession
+    spark, bound = coverage.sparkSession, 1.0
     total = demand.agg(F.sum("weight")).first()[0] or 0.0
     cols = ["demand", "weight"] + ([floor] if floor else [])
     left, rows, covered = demand.select(*cols).join(coverage.select("demand").distinct(), "demand", "left_semi"), [], 0.0
     open_groups = {r[0] for r in left.select(floor).distinct().toLocalIterator()} if floor else set()
     for step in range(1, k + 1):
-        seen = left.where(F.col(floor).isin(*open_groups)) if open_groups else left
-        best = coverage.join(seen, "demand").groupBy("candidate").agg(F.sum("weight").alias("gain")).orderBy(F.desc("gain"), "candidate").first()
-        if best is None or best.gain <= 0:
+        counts = F.col(floor).isin(*open_groups) if open_groups else F.lit(True)
+        gains = coverage.select("candidate", "demand").distinct().join(left, "demand").groupBy("candidate")
+        gains = gains.agg(F.sum(F.when(counts, F.col("weight")).otherwise(0)).alias("gain"), F.sum("weight").alias("w"), *([F.collect_set(floor).alias("g")] if floor else []))
+        ranked = gains.orderBy(F.desc("gain"), "candidate").limit(1 if open_groups else k).collect()
+        if not ranked or ranked[0].gain <= 0:
             break
-        taken = coverage.where(F.col("candidate") == best.candidate).select("demand").distinct()
-        got = left.join(taken, "demand", "left_semi")
-        summed = got.agg(F.sum("weight").alias("w"), *([F.collect_set(floor).alias("g")] if floor else [])).first()
-        covered += summed.w or 0.0
-        rows.append((step, best.candidate, float(summed.w or 0.0), covered / total if total else 0.0, bool(open_groups)))
+        best = ranked[0]
+        if not open_groups:
+            bound = min(bound, (covered + sum(r.w for r in ranked)) / total if total else 0.0)
+        covered += best.w
+        rows.append((step, best.candidate, float(best.w), covered / total if total else 0.0, bool(open_groups), bound))
         if floor:
-            open_groups -= set(summed.g)
-        left = left.join(taken, "demand", "left_anti")
-        if step % 8 == 0 and spark.sparkContext.getCheckpointDir():
-            left = left.checkpoint()
+            open_groups -= set(best.g)
+        taken = coverage.where(F.col("candidate") == best.candidate).select("demand").distinct()
+        left = left.join(F.broadcast(taken), "demand", "left_anti")  # what one site covers
+        if step % 8 == 0:
+            left = cut(left)
     return spark.createDataFrame(rows, PLAN)
 
 
@@ -90,4 +95,30 @@ def control_ranking(corridors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     scored = corridors.withColumn("siniestros_por_km", per_km)
     score = (percent_rank_average(F.col("siniestros_por_km"), *by) + percent_rank_average(F.col("risk"), *by)) / 2
     scored = scored.withColumn("score", score)
-    return scored.select(*by, "access", "siniestros_por_km", "score", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "access")).alias("ranking"))
+    return scored.select(*by, "access", "siniestros_por_km", "score", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), "access")).alias("ranking"))
+
+
+def ranked_coverage(ranking: DataFrame, reach: DataFrame, demand: DataFrame, radii: Sequence[float], sizes: Sequence[int]) -> DataFrame:
+    """radius, k, covered: the share that the first k sites of ranking (candidate, place) cover at each radius.
+
+    One reach table at the largest radius serves all of it: a demand's first site within a radius decides from which k on
+    it is covered.
+    """
+    first = ranking.join(reach, "candidate").withColumn("radius", F.explode(F.array(*map(F.lit, radii)))).where(F.col("dist") <= F.col("radius"))
+    first = first.groupBy("radius", "demand").agg(F.min("place").alias("place")).join(demand.select("demand", "weight"), "demand")
+    total = demand.agg(F.sum("weight").alias("total"))
+    sums = first.withColumn("k", F.explode(F.array(*map(F.lit, sizes)))).groupBy("radius", "k").agg(F.sum(F.when(F.col("place") <= F.col("k"), F.col("weight")).otherwise(0)).alias("w"))
+    return sums.join(F.broadcast(total), how="cross").select("radius", "k", (F.col("w") / F.col("total")).alias("covered"))  # one row
+
+
+def retention(plans: DataFrame, risks: DataFrame) -> DataFrame:
+    """plan, surface, retained: what each plan (plan, candidate) holds of each surface (surface, candidate, risk), over what that surface's own plan holds."""
+    held = plans.join(risks, "candidate").groupBy("plan", "surface").agg(F.sum("risk").alias("held"))
+    own = held.where("plan = surface").select("surface", F.col("held").alias("own"))
+    return held.join(own, "surface").select("plan", "surface", F.try_divide("held", "own").alias("retained"))
+
+
+def rank_stability(rankings: DataFrame, base: float) -> DataFrame:
+    """parameter, spearman, moved: rankings (parameter, access, ranking) against that at base; moved counts changed places."""
+    ref = rankings.where(F.col("parameter") == base).select("access", F.col("ranking").alias("ref"))
+    return rankings.join(ref, "access").groupBy("parameter").agg(F.corr("ranking", "ref").alias("spearman"), F.count_if(F.col("ranking") != F.col("ref")).alias("moved"))

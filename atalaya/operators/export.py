@@ -46,3 +46,37 @@ def rank_bins(df: DataFrame, value: str, tie: str, bins: int) -> DataFrame:
     ranked = df.withColumn("__i", F.row_number().over(Window.orderBy(value, tie))).withColumn("__n", F.count("*").over(Window.partitionBy()))
     bin_of = sum([F.when(F.col("__i") > 1 + (F.col("__n") - 1) * (k / bins), 1).otherwise(0) for k in range(1, bins)], F.lit(0))
     return ranked.withColumn("bin", bin_of).drop("__i", "__n")
+
+
+def sorted_table(df: DataFrame, by: str, tie: str, descending: bool = True) -> DataFrame:
+    """df with position: rows ordered by any column, nulls last as if they were -1, ties by name."""
+    value = F.coalesce(F.col(by), F.lit(-1.0))
+    return df.withColumn("position", F.row_number().over(Window.orderBy(F.desc(value) if descending else F.asc(value), tie)).cast("long"))
+
+
+def zone_totals(zones: DataFrame, incidents: DataFrame, zone: str) -> DataFrame:
+    """zone, people, n, rate: incidents counted by zone, and the zone's people taken once."""
+    n = incidents.groupBy(zone).agg(F.count("*").alias("n"))
+    return zones.join(n, zone, "left").select(zone, "people", F.coalesce("n", F.lit(0)).alias("n")).withColumn("rate", F.when(F.col("people") > 0, F.col("n") * 100000.0 / F.col("people")))
+
+
+def url_choice(url: Column, key: str, valid: Sequence[str], default: str) -> Column:
+    """A parameter of a URL if it is one of the valid values, else the default."""
+    value = F.regexp_extract(F.coalesce(url, F.lit("")), rf"[?&]{key}=([^&#]*)", 1)
+    return F.when(value.isin(*valid), value).otherwise(default)
+
+
+def url_number(url: Column, key: str, default: int) -> Column:
+    """A whole number from a URL's parameter, else the default."""
+    value = F.regexp_extract(F.coalesce(url, F.lit("")), rf"[?&]{key}=([0-9]+)(?:[&#]|$)", 1)
+    return F.coalesce(value.try_cast("long"), F.lit(default).cast("long"))
+
+
+def draw_unit(df: DataFrame, fields: Mapping[str, str], fine: str, coarse: str) -> DataFrame:
+    """surface, unit, id, value: each surface at the finest unit its data has; fields names the unit of each. Nulls are left out."""
+    out = None
+    for field, unit in fields.items():
+        key = fine if unit == "fine" else coarse
+        x = df.groupBy(F.col(key).cast("string").alias("id")).agg(F.avg(field).alias("value")).where("value IS NOT NULL").select(F.lit(field).alias("surface"), F.lit(unit).alias("unit"), "id", "value")
+        out = x if out is None else out.unionAll(x)
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 
 def reachable(sources: DataFrame, edges: DataFrame, cutoff: float, directed: bool = True, rounds: int = 100) -> DataFrame:
     """(source, node, dist): nodes within cutoff of each source (column source) along edges (u, v, length_m).
@@ -12,7 +14,6 @@ def reachable(sources: DataFrame, edges: DataFrame, cutoff: float, directed: boo
     Frontier relaxation: each round joins the nodes that got nearer with the edges and keeps the least distance; it ends
     when nothing gets nearer. Every round is checkpointed, so lineage stays short and lost executors cost one round.
     """
-    spark = sources.sparkSession
     if not directed:
         edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), *[c for c in edges.columns if c not in ("u", "v")]))
     steps = edges.groupBy("u", "v").agg(F.min("length_m").alias("length_m"))
@@ -22,18 +23,13 @@ def reachable(sources: DataFrame, edges: DataFrame, cutoff: float, directed: boo
         tried = frontier.join(steps, frontier.node == steps.u).select("source", F.col("v").alias("node"), (F.col("dist") + F.col("length_m")).alias("dist"))
         tried = tried.where(F.col("dist") <= cutoff).groupBy("source", "node").agg(F.min("dist").alias("dist"))
         old = best.select("source", "node", F.col("dist").alias("old"))
-        frontier = _cut(tried.join(old, ["source", "node"], "left").where("old IS NULL OR dist < old").select("source", "node", "dist"), spark)
+        frontier = cut(tried.join(old, ["source", "node"], "left").where("old IS NULL OR dist < old").select("source", "node", "dist"))
         if frontier.isEmpty():
             break
-        best = _cut(best.join(frontier.select("source", "node"), ["source", "node"], "left_anti").unionByName(frontier), spark)
+        best = cut(best.join(frontier.select("source", "node"), ["source", "node"], "left_anti").unionByName(frontier))
     return best
 
 
-def _cut(df: DataFrame, spark) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the cluster's folder; cached where no folder is set (tests)."""
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache()
-
-
 def corridor_length(reach: DataFrame, edges: DataFrame) -> DataFrame:
     """(source, km, edges): length of the edges with both ends within reach; antiparallel twins count once."""
     once = edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "length_m").groupBy("a", "b").agg(F.min("length_m").alias("length_m"))

@@ -63,3 +63,9 @@ def normalised_adjacency(ring: DataFrame, cells: DataFrame) -> DataFrame:
     edges = ring.where("k = 1").select(F.col("hex_id").alias("i"), F.col("nbr").alias("j")).unionAll(own)
     degree = edges.groupBy("i").agg(F.count("*").alias("d"))
     return edges.join(degree, "i").join(degree.select(F.col("i").alias("j"), F.col("d").alias("e")), "j").select("i", "j", (1 / F.sqrt(F.col("d") * F.col("e"))).alias("w"))
+
+
+def graph_convolution(adjacency: DataFrame, features: DataFrame, weights: DataFrame) -> DataFrame:
+    """(i, out, value): A (X W) of adjacency (i, j, w), features (j, feature, x) and weights (feature, out, w)."""
+    mixed = features.join(F.broadcast(weights.withColumnRenamed("w", "__w")), "feature").groupBy("j", "out").agg(F.sum(F.col("x") * F.col("__w")).alias("h"))  # a layer's weights
+    return adjacency.join(mixed, "j").groupBy("i", "out").agg(F.sum(F.col("w") * F.col("h")).alias("value"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 
 def within_distance(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str) -> DataFrame:
     """(left_id, right_id, dist): pairs of points (x, y) within the radius; a join on square buckets as wide as it.
@@ -27,16 +29,27 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, firs
     """(left_id, right_id, dist): each left point's nearest right point; ties go to the lower id.
 
     Looks within `first`, and for points that found nothing within twice that, and so on: each round is a bucketed join of
-    what is left. A point is settled once something lies within the round's radius.
+    what is left, written out. A point is settled once something lies within the round's radius, and the last round is that
+    whose radius spans all points. Points without coordinates, and all points if nothing stands right, get nulls.
     """
+    known = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
+    right, rest, radius, done = right.where(known), left.where(known), first, []
+    nothing = left.where(f"NOT coalesce({known}, false)")
+    ends = [F.min("x"), F.max("x"), F.min("y"), F.max("y")]
+    x0, x1, y0, y1 = right.select("x", "y").unionAll(rest.select("x", "y")).agg(*ends).first()
     if right.isEmpty():
-        return left.select(left_id, F.lit(None).cast(dict(right.dtypes)[right_id]).alias(right_id), F.lit(None).cast("double").alias("dist"))
-    done, rest, radius = [], left, first
-    while not rest.isEmpty():
+        nothing, span = left, -1.0
+    else:
+        span = math.hypot(x1 - x0, y1 - y0)
+    while span >= 0 and not rest.isEmpty():
         best = within_distance(rest, right, radius, left_id, right_id).groupBy(left_id).agg(F.min(F.struct("dist", right_id)).alias("b")).select(left_id, f"b.{right_id}", "b.dist")
+        best = cut(best)
         done.append(best)
-        rest, radius = rest.join(best, left_id, "left_anti"), 2 * radius
-    return reduce(DataFrame.unionAll, done)
+        if radius > span:
+            break
+        rest, radius = cut(rest.join(best, left_id, "left_anti")), 2 * radius
+    none = nothing.select(left_id, F.lit(None).cast(dict(right.dtypes)[right_id]).alias(right_id), F.lit(None).cast("double").alias("dist"))
+    return reduce(DataFrame.unionAll, [*done, none])
 
 
 def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -57,10 +70,24 @@ def points_near_segments(points: DataFrame, segments: DataFrame, radius: float,
     return p.join(s, ["bx", "by"]).select(point_id, segment_id, dist.alias("dist")).where(F.col("dist") <= radius)
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, radius: float, point_id: str, segment_id: str) -> DataFrame:
-    """(point_id, segment_id, dist): the nearest segment within the radius; ties go to the lower id."""
-    best = points_near_segments(points, segments, radius, point_id, segment_id).groupBy(point_id).agg(F.min(F.struct("dist", segment_id)).alias("b"))
-    return best.select(point_id, f"b.{segment_id}", "b.dist")
+def nearest_segment(points: DataFrame, segments: DataFrame, first: float, point_id: str, segment_id: str, digits: int = 6) -> DataFrame:
+    """(point_id, segment_id, dist): each point's nearest segment; ties of the rounded distance go to the lower id.
+
+    Looks within `first`, then twice as far for the points that found nothing, until the radius spans all of them. Points
+    without coordinates have no row.
+    """
+    rest, radius, done = points.where("x IS NOT NULL AND y IS NOT NULL"), first, []
+    xs = segments.select(F.col("x1").alias("x"), F.col("y1").alias("y")).unionAll(segments.select("x2", "y2")).unionAll(rest.select("x", "y"))
+    x0, x1, y0, y1 = xs.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    span = math.hypot(x1 - x0, y1 - y0) if x0 is not None and not segments.isEmpty() else -1.0
+    while span >= 0 and not rest.isEmpty():
+        found = points_near_segments(rest, segments, radius, point_id, segment_id).withColumn("dist", F.round("dist", digits))
+        best = cut(found.groupBy(point_id).agg(F.min(F.struct("dist", segment_id)).alias("b")).select(point_id, f"b.{segment_id}", "b.dist"))
+        done.append(best)
+        if radius > span:
+            break
+        rest, radius = cut(rest.join(best, point_id, "left_anti")), 2 * radius
+    return reduce(DataFrame.unionAll, done) if done else points_near_segments(points, segments, first, point_id, segment_id)
 
 
 # --- polygons: array<struct<x, y>> rings, not closed --------------------------------------------------------------
@@ -182,3 +209,46 @@ def transverse_mercator(lat: Column, lon: Column, lon0: float = -60.0, lat0: flo
         xi0 = math.atan(math.sinh(math.atanh(s) - e * math.atanh(e * s)))
         origin = xi0 + sum(c * math.sin(2 * j * xi0) for j, c in enumerate(alpha, 1))
     return x0 + scale * rect * east, y0 + scale * rect * (north - origin)
+
+
+def cells_of_polygons(polygons: DataFrame, size: float, polygon_id: str) -> DataFrame:
+    """(polygon_id, q, r): the grid cells of the given size that overlap a convex polygon (column ring).
+
+    Cells are counted out over the polygon's box, one cell wider on each side, and cut with it by half planes.
+    """
+    from .grid import cell_centre, cell_corners
+
+    box = polygons.select(polygon_id, "ring", *[f(F.col(f"ring.{k}")).alias(n) for n, f, k in (("x0", F.array_min, "x"), ("x1", F.array_max, "x"), ("y0", F.array_min, "y"), ("y1", F.array_max, "y"))])
+    rows = F.sequence(F.floor(F.col("y0") / (1.5 * size)) - 1, F.ceil(F.col("y1") / (1.5 * size)) + 1)
+    wide = math.sqrt(3.0) * size
+    out = box.withColumn("r", F.explode(rows)).withColumn("q", F.explode(F.sequence(F.floor(F.col("x0") / wide - F.col("r") / 2) - 1, F.ceil(F.col("x1") / wide - F.col("r") / 2) + 1)))
+    cx, cy = cell_centre(F.col("q"), F.col("r"), size)
+    out = out.withColumn("__cut", cell_corners(cx, cy, size)).withColumn("__edges", _edges(F.col("ring"))).withColumn("__turn", F.signum(signed_area(F.col("ring"))))
+
+    def keep(cut: Column, e: Column) -> Column:  # the side of the edge on which the polygon lies
+        nx, ny = (e["b"]["y"] - e["a"]["y"]) * F.col("__turn"), (e["a"]["x"] - e["b"]["x"]) * F.col("__turn")
+        return clip_half_plane(cut, nx, ny, nx * e["a"]["x"] + ny * e["a"]["y"])
+
+    left = F.aggregate("__edges", F.col("__cut"), keep)
+    return out.where((F.size(left) > 2) & (F.abs(signed_area(left)) > 1e-6)).select(polygon_id, "q", "r")
+
+
+def dissolve_cells(cells: DataFrame, ring: DataFrame, group: str, size: float) -> DataFrame:
+    """group, cells, area, outline: hexagons united by group; sides between two cells of a group are inner and dropped."""
+    near = ring.where("k = 1").join(cells.select("hex_id", group), "hex_id").join(cells.select(F.col("hex_id").alias("nbr"), F.col(group).alias("__other")), "nbr")
+    inner = near.where(F.col(group) == F.col("__other")).groupBy(group).agg(F.count("*").alias("inner"))
+    whole = cells.groupBy(group).agg(F.count("*").alias("cells")).join(inner, group, "left")
+    return whole.select(group, "cells", (F.col("cells") * (1.5 * math.sqrt(3.0) * size * size)).alias("area"), ((6 * F.col("cells") - F.coalesce("inner", F.lit(0))) * size).alias("outline"))
+
+
+def web_mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Spherical Mercator in radians: x east, y north."""
+    return F.radians(lon), F.log(F.tan(math.pi / 4 + F.radians(lat) / 2))
+
+
+def fit_to_canvas(points: DataFrame, width: float, height: float, margin: float) -> DataFrame:
+    """points (x, y) with px, py: scaled alike on both axes into a canvas with a margin, north up."""
+    e = points.agg(F.min("x").alias("__x0"), F.max("x").alias("__x1"), F.min("y").alias("__y0"), F.max("y").alias("__y1"))
+    scale = F.least((width - 2 * margin) / (F.col("__x1") - F.col("__x0")), (height - 2 * margin) / (F.col("__y1") - F.col("__y0")))
+    placed = points.join(F.broadcast(e), how="cross")  # one row
+    return placed.select(*points.columns, (margin + (F.col("x") - F.col("__x0")) * scale).alias("px"), (margin + (F.col("__y1") - F.col("y")) * scale).alias("py"))

@@ -69,3 +69,22 @@ def stability_against_null(counts: DataFrame, sims: int = 40, seed: int = 42) ->
     ranked = drawn.select("sim", "hex_id", "year", (F.rank().over(part.orderBy("v")) + (F.count("*").over(same) - 1) / 2).alias("r"))
     after = ranked.select("sim", "hex_id", (F.col("year") - 1).alias("year"), F.col("r").alias("next"))
     return ranked.join(after, ["sim", "hex_id", "year"]).groupBy("sim", "year").agg(F.corr("r", "next").alias("rho")).groupBy("sim").agg(F.avg("rho").alias("rho"))
+
+
+def local_moran_p(values: DataFrame, weights: DataFrame, reps: int = 999) -> DataFrame:
+    """hex_id, p of the conditional test: each repetition puts values drawn from the other cells in the neighbours' places.
+
+    The draws come from a fixed linear rule of cell, repetition and place, with replacement, so they are the same on any
+    engine. Cells without neighbours have p = 1. Repetitions are rows, dealt to all tasks; the drawn values are joined.
+    """
+    local = local_moran(values, weights)
+    total = local.agg((F.count("*") - 1).alias("others"))
+    spots = weights.withColumn("j", F.row_number().over(Window.partitionBy("hex_id").orderBy("nbr"))).join(F.broadcast(total), how="cross")  # one row
+    order = Window.orderBy("hex_id")
+    number = local.select("hex_id", "z", (F.row_number().over(order) - 1).alias("i"))  # one row a cell
+    drawn = spots.join(number.select("hex_id", F.col("i").alias("own")), "hex_id").select("hex_id", "own", "w", "j", "others", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    pick = F.pmod((F.col("own") * 7919 + F.col("rep") * 104729 + F.col("j") * 1299709).cast("long") * 48271 % 2147483647, F.col("others"))
+    drawn = drawn.select("hex_id", "rep", "w", F.when(pick >= F.col("own"), pick + 1).otherwise(pick).alias("i"))
+    lags = drawn.join(number.select("i", F.col("z").alias("zn")), "i").groupBy("hex_id", "rep").agg(F.sum(F.col("w") * F.col("zn")).alias("lag"))
+    hits = lags.join(local.select("hex_id", "z", "local"), "hex_id").groupBy("hex_id").agg(F.count_if(F.round(F.abs(F.col("z") * F.col("lag")), 9) >= F.round(F.abs("local"), 9)).alias("extreme"))
+    return local.select("hex_id").join(hits, "hex_id", "left").select("hex_id", ((F.coalesce("extreme", F.lit(reps)) + 1) / (reps + 1)).alias("p"))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import bindings as b
-from ..functions.scalars import SHIFTS, fold_name, hour_of, one_every, rate_per_100k, regional_number, shift_of, tokens, week_start
+from ..functions.scalars import SHIFTS, fold_name, hour_of, one_every, rate_per_100k, regional_number, shift_of, tokens
 from ..operators import grid, metrics, models, panel, statistics
 from .registry import query
 
-FIRST, LAST = "1999-01-01", "2000-12-31"
+#: Shares of units called hot, and the decays in days that the fit tries.
 SHARES = (0.05, 0.1, 0.2, 0.3)
+TAUS = (0.5, 1, 2, 3, 5, 7, 14, 30, 60, 90, 180, 365)
 _SHIFT_ROWS = "(VALUES ('Mañana'), ('Tarde'), ('Noche'), ('Madrugada')) s(turno)"
 
 
@@ -99,11 +100,11 @@ def a27_lorenz(spark: SparkSession, d: str) -> DataFrame:
 def _panel_sql(grain: str) -> str:
     lags, rolls, shared = panel.GRAINS[grain]
     step = "7 days" if grain == "week" else "1 day"
-    first, period = (f"date_trunc('week', DATE '{FIRST}')", "CAST(date_trunc('week', fecha) AS DATE)") if grain == "week" else (f"DATE '{FIRST}'", "fecha")
+    period = "CAST(date_trunc('week', fecha) AS DATE)" if grain == "week" else "fecha"
     cols = ", ".join([f"lag(y, {n}) OVER w AS lag_{n}" for n in lags] + [f"CAST(sum(y) OVER (PARTITION BY hex_id, turno ORDER BY period ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS BIGINT) AS roll_{n}" for n in rolls])
     return f"""
 , counts AS (SELECT hex_id, {period} AS period, turno, count(*) AS n FROM incidents GROUP BY 1, 2, 3),
-periods AS (SELECT CAST(unnest(generate_series(CAST({first} AS TIMESTAMP), CAST(DATE '{LAST}' AS TIMESTAMP), INTERVAL {step})) AS DATE) AS period),
+periods AS (SELECT CAST(unnest(generate_series((SELECT CAST(min(period) AS TIMESTAMP) FROM counts), (SELECT CAST(max(period) AS TIMESTAMP) FROM counts), INTERVAL {step})) AS DATE) AS period),
 dense AS (SELECT c.hex_id, p.period, s.turno, coalesce(n, 0) AS y FROM cells c CROSS JOIN periods p CROSS JOIN {_SHIFT_ROWS} LEFT JOIN counts k ON k.hex_id = c.hex_id AND k.period = p.period AND k.turno = s.turno),
 featured AS (SELECT *, {cols} FROM dense WINDOW w AS (PARTITION BY hex_id, turno ORDER BY period)),
 sums AS (SELECT g.hex_id, f.period, f.turno, CAST(sum(CASE WHEN k = 1 THEN f.roll_{shared} END) AS BIGINT) AS s1, CAST(sum(CASE WHEN k = 2 THEN f.roll_{shared} END) AS BIGINT) AS s2 FROM ring g JOIN featured f ON f.hex_id = g.nbr GROUP BY 1, 2, 3)
@@ -111,7 +112,10 @@ sums AS (SELECT g.hex_id, f.period, f.turno, CAST(sum(CASE WHEN k = 1 THEN f.rol
 
 
 def dense(spark: SparkSession, d: str, grain: str, tipo: str | None = None) -> DataFrame:
-    return panel.dense_panel(b.cells(spark, d), panel.period_counts(b.incidents(spark, d), grain, tipo), FIRST, LAST, grain)
+    """The panel over all dates of the incidents."""
+    x = b.incidents(spark, d)
+    first, last = x.agg(F.min("fecha"), F.max("fecha")).first()
+    return panel.dense_panel(b.cells(spark, d), panel.period_counts(x, grain, tipo), str(first), str(last), grain)
 
 
 _NEIGHBOURS = """SELECT f.*, CASE WHEN f.period > (SELECT min(period) FROM periods) THEN coalesce(s1, 0) END AS nbr1, CASE WHEN f.period > (SELECT min(period) FROM periods) THEN coalesce(s2, 0) END AS nbr2
@@ -123,17 +127,17 @@ def w03_weekly_panel(spark: SparkSession, d: str) -> DataFrame:
     return panel.neighbour_features(panel.lag_features(dense(spark, d, "week"), "week"), b.ring(spark, d), "week")
 
 
-@query("w01_daily_panel", _panel_sql("day") + "SELECT hex_id, turno, count(*) AS rows_n, sum(y) AS y, sum(lag_7) AS lag_7, sum(lag_30) AS lag_30, sum(lag_365) AS lag_365, sum(roll_7) AS roll_7, sum(roll_30) AS roll_30 FROM featured GROUP BY 1, 2")
+@query("w01_daily_panel", _panel_sql("day") + ", whole AS (" + _NEIGHBOURS + ") SELECT hex_id, turno, count(*) AS rows_n, sum(y) AS y, sum(lag_7) AS lag_7, sum(lag_30) AS lag_30, sum(lag_365) AS lag_365, sum(roll_7) AS roll_7, sum(roll_30) AS roll_30, sum(nbr1) AS nbr1, sum(nbr2) AS nbr2 FROM whole GROUP BY 1, 2")
 def w01_daily_panel(spark: SparkSession, d: str) -> DataFrame:
     """Column sums of the daily panel (its rows are checked at the weekly grain)."""
-    x = panel.lag_features(dense(spark, d, "day"), "day")
-    return x.groupBy("hex_id", "turno").agg(F.count("*").alias("rows_n"), *[F.sum(c).alias(c) for c in ("y", "lag_7", "lag_30", "lag_365", "roll_7", "roll_30")])
+    x = panel.neighbour_features(panel.lag_features(dense(spark, d, "day"), "day"), b.ring(spark, d), "day")
+    return x.groupBy("hex_id", "turno").agg(F.count("*").alias("rows_n"), *[F.sum(c).alias(c) for c in ("y", "lag_7", "lag_30", "lag_365", "roll_7", "roll_30", "nbr1", "nbr2")])
 
 
-@query("f08_calendar_panel", _panel_sql("week") + "SELECT hex_id, turno, period, y, CAST((dayofweek(period) + 6) % 7 AS INT) AS dia_semana, CAST(month(period) AS INT) AS mes, CAST(weekofyear(period) AS INT) AS semana, strftime(period, '%Y-%m-%d') IN ('1999-12-20', '2000-12-25', '1999-05-24') AS es_feriado FROM dense WHERE y > 0")
+@query("f08_calendar_panel", _panel_sql("week") + "SELECT hex_id, turno, period, y, CAST((dayofweek(period) + 6) % 7 AS INT) AS dia_semana, CAST(month(period) AS INT) AS mes, CAST(weekofyear(period) AS INT) AS semana, strftime(period, '%Y-%m-%d') IN ('1999-12-20', '2000-12-25', '1999-05-24') AS es_feriado FROM dense")
 def f08_calendar_panel(spark: SparkSession, d: str) -> DataFrame:
     holidays = spark.createDataFrame([("1999-12-25",), ("2000-12-25",), ("1999-05-25",)], "fecha string").select(F.to_date("fecha").alias("fecha"))
-    return panel.calendar_features(dense(spark, d, "week").where("y > 0"), holidays, "week")
+    return panel.calendar_features(dense(spark, d, "week"), holidays, "week")
 
 
 @query("a01_weekly_by_type", "SELECT hex_id, CAST(date_trunc('week', fecha) AS DATE) AS period, turno, count(*) AS y FROM incidents WHERE tipo = 'R' GROUP BY 1, 2, 3")
@@ -188,8 +192,8 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l09_hawkes_fit")
 def l09_hawkes_fit(spark: SparkSession, d: str) -> DataFrame:
-    fitted = models.fit_hawkes(models.hawkes_design(_daily(spark, d), b.ring(spark, d), 7.0), rounds=8)
-    return spark.createDataFrame([(k, float(v)) for k, v in fitted.items()], "parameter string, value double")
+    """Fits for a grid of decays, scored on the last ten of the stream's thirty days."""
+    return rounded(models.tune_hawkes(_daily(spark, d), b.ring(spark, d), TAUS, 20))
 
 
 @query("l01_tweedie_surface")
@@ -219,9 +223,9 @@ def f01_shift_of_hour(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "events").select("event_id", shift_of(hour_of(F.date_format("ts", "HH:mm:ss"))).alias("turno"))
 
 
-@query("f02_folded_names", "SELECT doc_id, upper(trim(regexp_replace(translate(substr(text, 1, 200), 'áéíóúàèìòùäëïöüâêîôûñçÁÉÍÓÚÀÈÌÒÙÄËÏÖÜÂÊÎÔÛÑÇ', 'aeiouaeiouaeiouaeiouncAEIOUAEIOUAEIOUAEIOUNC'), '[^A-Za-z0-9]+', ' ', 'g'))) AS name FROM documents")
+@query("f02_folded_names", "SELECT doc_id, upper(trim(regexp_replace(translate(text, 'áéíóúàèìòùäëïöüâêîôûñçÁÉÍÓÚÀÈÌÒÙÄËÏÖÜÂÊÎÔÛÑÇ', 'aeiouaeiouaeiouaeiouncAEIOUAEIOUAEIOUAEIOUNC'), '[^A-Za-z0-9]+', ' ', 'g'))) AS name FROM documents")
 def f02_folded_names(spark: SparkSession, d: str) -> DataFrame:
-    return b.table(spark, d, "documents").select("doc_id", fold_name(F.substring("text", 1, 200)).alias("name"))
+    return b.table(spark, d, "documents").select("doc_id", fold_name(F.col("text")).alias("name"))
 
 
 @query("f13_rates", "SELECT n_name AS zone, CASE WHEN people > 0 THEN round(n * 100000e0 / people, 6) END AS rate, format('{:t.}', n) AS shown FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey LEFT JOIN (SELECT c_nationkey, count(*) AS people FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey")
@@ -306,13 +310,13 @@ def m03_local_moran(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m02_moran_permutations")
 def m02_moran_permutations(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.moran_permutations(_yearly(spark, d).where("anio = 2000"), grid.contiguity(b.ring(spark, d)), reps=99)
+    return statistics.moran_permutations(_yearly(spark, d).where("anio = 2000"), grid.contiguity(b.ring(spark, d)))
 
 
 @query("m09_stability_null")
 def m09_stability_null(spark: SparkSession, d: str) -> DataFrame:
-    x = _yearly(spark, d).where("anio BETWEEN 1997 AND 2000").select("hex_id", F.col("anio").alias("year"), F.col("v").cast("double").alias("n"))
-    return rounded(statistics.stability_against_null(x, sims=10))
+    x = _yearly(spark, d).select("hex_id", F.col("anio").alias("year"), F.col("v").cast("double").alias("n"))
+    return rounded(statistics.stability_against_null(x))
 
 
 @query("a26_monthly_evolution", _BASELINE.split("test AS")[0] + """real AS (SELECT month(fecha) AS mes, hex_id, count(*) AS n FROM incidents WHERE year(fecha) = 2000 GROUP BY 1, 2), score AS (SELECT hex_id, round(sum(m), 6) AS p FROM mean GROUP BY hex_id),
@@ -337,9 +341,9 @@ def a28_top_in_hot_cells(spark: SparkSession, d: str) -> DataFrame:
     return rounded(o.groupBy("hex_id").agg(F.sum("n").alias("n"), F.count("*").alias("units"), (F.sum(F.when(F.col("rn") <= 3, F.col("n")).otherwise(0)) / F.sum("n")).alias("top3")))
 
 
-@query("w12_sliding_arrays", ", k AS (SELECT hex_id, CAST(date_trunc('week', fecha) AS DATE) AS period, count(*) AS n FROM incidents GROUP BY 1, 2) SELECT hex_id, period, list(n) OVER (PARTITION BY hex_id ORDER BY period ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS last12 FROM k")
+@query("w12_sliding_arrays", _panel_sql("week") + ", k AS (SELECT hex_id, period, CAST(sum(y) AS BIGINT) AS n FROM dense GROUP BY 1, 2) SELECT hex_id, period, list(n) OVER (PARTITION BY hex_id ORDER BY period ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS last12 FROM k")
 def w12_sliding_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """The last twelve weekly counts of each cell as an array."""
-    k = b.incidents(spark, d).groupBy("hex_id", week_start(F.col("fecha")).alias("period")).agg(F.count("*").alias("n"))
+    """The last twelve weekly counts of each cell, weeks without incidents included, as an array."""
+    k = dense(spark, d, "week").groupBy("hex_id", "period").agg(F.sum("y").alias("n"))
     w = Window.partitionBy("hex_id").orderBy("period").rowsBetween(-11, 0)
     return k.select("hex_id", "period", F.collect_list("n").over(w).alias("last12"))

@@ -95,11 +95,9 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return e.select((F.col("u") * 1000000 + F.col("v")).alias("seg"), "x1", "y1", "x2", "y2")
 
 
-@query("j18_nearest_segment", _SEGMENTS + " SELECT poi_id, seg, round(round(dist, 6), 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY round(dist, 6), seg) AS rn FROM near WHERE dist <= 250) r WHERE rn = 1")
+@query("j18_nearest_segment", _SEGMENTS + " SELECT poi_id, seg, round(round(dist, 6), 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY poi_id ORDER BY round(dist, 6), seg) AS rn FROM near) r WHERE rn = 1")
 def j18_nearest_segment(spark: SparkSession, d: str) -> DataFrame:
-    found = spatial.points_near_segments(points(spark, d), segments(spark, d), 250.0, "poi_id", "seg").withColumn("dist", F.round("dist", 6))
-    best = found.groupBy("poi_id").agg(F.min(F.struct("dist", "seg")).alias("b"))
-    return rounded(best.select("poi_id", "b.seg", "b.dist"), 4)
+    return rounded(spatial.nearest_segment(points(spark, d), segments(spark, d), 250.0, "poi_id", "seg"), 4)
 
 
 @query("j19_points_near_line", _SEGMENTS + " SELECT seg, count(DISTINCT poi_id) AS n FROM near WHERE dist <= 30 GROUP BY seg")
@@ -124,9 +122,9 @@ def g08_projection(spark: SparkSession, d: str) -> DataFrame:
     return rounded(b.cells(spark, d).select("hex_id", x.alias("east"), y.alias("north")), 3)
 
 
-@query("c15_circle", ", k AS (SELECT CAST(unnest(range(49)) AS INT) AS k) SELECT hex_id, k, round(x + 800 * cos(2 * pi() * k / 48), 4) AS x, round(y + 800 * sin(2 * pi() * k / 48), 4) AS y FROM cells, k WHERE hex_id % 10 = 0")
+@query("c15_circle", ", k AS (SELECT CAST(unnest(range(49)) AS INT) AS k) SELECT hex_id, k, round(x + 800 * cos(2 * pi() * k / 48), 4) AS x, round(y + 800 * sin(2 * pi() * k / 48), 4) AS y FROM cells, k")
 def c15_circle(spark: SparkSession, d: str) -> DataFrame:
-    x = b.cells(spark, d).where("hex_id % 10 = 0").select("hex_id", F.posexplode(spatial.circle(F.col("x"), F.col("y"), F.lit(800.0))).alias("k", "p"))
+    x = b.cells(spark, d).select("hex_id", F.posexplode(spatial.circle(F.col("x"), F.col("y"), F.lit(800.0))).alias("k", "p"))
     return rounded(x.select("hex_id", "k", "p.x", "p.y"), 4)
 
 
@@ -145,10 +143,9 @@ def r02_reachable(spark: SparkSession, d: str) -> DataFrame:
     return reach(spark, d)
 
 
-@query("r04_corridor_length", _REACH.replace("SELECT hex_id, hex_id, 0e0 FROM cells", "SELECT hex_id, hex_id, 0e0 FROM cells WHERE hex_id % 11 = 0") + ", once AS (SELECT least(u, v) AS a, greatest(u, v) AS b, min(length_m) AS length_m FROM roads WHERE clase < 4 GROUP BY 1, 2) SELECT r.source, round(sum(length_m) / 1000, 6) AS km, count(*) AS edges FROM once o JOIN reach r ON r.node = o.a JOIN reach s ON s.node = o.b AND s.source = r.source GROUP BY r.source")
+@query("r04_corridor_length", _REACH + ", once AS (SELECT least(u, v) AS a, greatest(u, v) AS b, min(length_m) AS length_m FROM roads WHERE clase < 4 GROUP BY 1, 2) SELECT r.source, round(sum(length_m) / 1000, 6) AS km, count(*) AS edges FROM once o JOIN reach r ON r.node = o.a JOIN reach s ON s.node = o.b AND s.source = r.source GROUP BY r.source")
 def r04_corridor_length(spark: SparkSession, d: str) -> DataFrame:
-    sources = b.cells(spark, d).where("hex_id % 11 = 0").select(F.col("hex_id").alias("source"))
-    return rounded(graph.corridor_length(graph.reachable(sources, b.roads(spark, d), 800.0), b.roads(spark, d).where("clase < 4")))
+    return rounded(graph.corridor_length(reach(spark, d), b.roads(spark, d).where("clase < 4")))
 
 
 @query("r03_covered_edges", _REACH.replace("<= 800", "<= 500") + " SELECT source, count(*) AS n FROM (SELECT DISTINCT r.source, e.u, e.v FROM reach r JOIN roads e ON e.u = r.node OR e.v = r.node) x GROUP BY source")
@@ -176,7 +173,7 @@ def o01_patrol_plan(spark: SparkSession, d: str) -> DataFrame:
 @query("o03_k_sweep")
 def o03_k_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Coverage for each K from one greedy order; infeasible while groups that can be reached have nothing."""
-    plan = allocation.greedy_cover(coverage(spark, d), demand(spark, d), 15, floor="comuna_id")
+    plan = allocation.greedy_cover(coverage(spark, d), demand(spark, d), 110, floor="comuna_id")
     return plan.select(F.col("step").alias("k"), "covered", F.when(F.col("floor") & (F.lead("floor").over(Window.orderBy("step")) | F.lead("floor").over(Window.orderBy("step")).isNull()), "infeasible").otherwise("feasible").alias("estado"))
 
 
@@ -212,7 +209,7 @@ _RANK = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) /
     f""", x AS (SELECT c.hex_id, c.weight AS risk, coalesce(l.n, 0) AS lights, coalesce(f.a, 0) AS fa, coalesce(f.b, 0) AS fb FROM cells c LEFT JOIN (SELECT l_suppkey AS hex_id, count(*) AS n FROM lineitem GROUP BY 1) l ON l.hex_id = c.hex_id
     LEFT JOIN (SELECT hex_id, count(*) AS a, count(DISTINCT tipo) AS b FROM incidents_h GROUP BY 1) f ON f.hex_id = c.hex_id),
     w AS (SELECT hex_id, risk * (2 - {_RANK.format("lights")}) * (1 + ({_RANK.format("fa")} + {_RANK.format("fb")}) / 2) AS weight FROM x),
-    n AS (SELECT c.hex_id, min(sqrt(pow(c.x - p.x, 2) + pow(c.y - p.y, 2))) AS dist FROM cells c, pois p WHERE p.poi_id % 10 = 0 GROUP BY c.hex_id)
+    n AS (SELECT c.hex_id, min(sqrt(pow(c.x - p.x, 2) + pow(c.y - p.y, 2))) AS dist FROM cells c, pois p WHERE p.clase = 'PROMO' GROUP BY c.hex_id)
     SELECT w.hex_id, round(weight * CASE WHEN dist <= 150 THEN 0.3e0 ELSE 1e0 END, 4) AS weight FROM w LEFT JOIN n ON n.hex_id = w.hex_id WHERE dist IS NULL OR dist > 100""",
 )
 def o07_camera_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +217,7 @@ def o07_camera_weights(spark: SparkSession, d: str) -> DataFrame:
     flow = b.incidents_h(spark, d).groupBy("hex_id").agg(F.count("*").alias("flow_a"), F.count_distinct("tipo").alias("flow_b"))
     cells = b.cells(spark, d)
     x = cells.select("hex_id", F.col("weight").alias("risk")).join(lights, "hex_id", "left").join(flow, "hex_id", "left").fillna(0)
-    near = spatial.within_distance(cells, points(spark, d).where("poi_id % 10 = 0"), 150.0, "hex_id", "poi_id")
+    near = spatial.within_distance(cells, points(spark, d).where("clase = 'PROMO'"), 150.0, "hex_id", "poi_id")
     return rounded(allocation.camera_weights(x, near.select("hex_id", "dist")), 4)
 
 
@@ -234,12 +231,12 @@ def o08_network_cameras(spark: SparkSession, d: str) -> DataFrame:
     return rounded(allocation.greedy_cover(cov, edges.cache(), 8))
 
 
-@query("o09_controls", _SEGMENTS + """, acc AS (SELECT seg, seg // 1000000 AS u FROM seg WHERE (seg // 1000000) % 11 = 0), x AS (SELECT a.u AS access, count(DISTINCT poi_id) AS siniestros, (SELECT sum(length_m) / 1000 FROM roads r WHERE r.u = a.u) AS km FROM acc a LEFT JOIN near n ON n.seg = a.seg AND n.dist <= 30 GROUP BY a.u),
+@query("o09_controls", _SEGMENTS + """, acc AS (SELECT seg, seg // 1000000 AS u FROM seg), x AS (SELECT a.u AS access, count(DISTINCT poi_id) AS siniestros, (SELECT sum(length_m) / 1000 FROM roads r WHERE r.u = a.u) AS km FROM acc a LEFT JOIN near n ON n.seg = a.seg AND n.dist <= 30 GROUP BY a.u),
 y AS (SELECT access, siniestros / km AS per_km, c.weight AS risk FROM x JOIN cells c ON c.hex_id = x.access), z AS (SELECT access, per_km, (""" + _RANK.format("per_km") + " + " + _RANK.format("risk") + ") / 2 AS score FROM y) SELECT access, round(per_km, 6) AS siniestros_por_km, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, access) AS INT) AS ranking FROM z")
 def o09_controls(spark: SparkSession, d: str) -> DataFrame:
-    near = spatial.points_near_segments(points(spark, d), segments(spark, d).where("(seg div 1000000) % 11 = 0"), 30.0, "poi_id", "seg")
+    near = spatial.points_near_segments(points(spark, d), segments(spark, d), 30.0, "poi_id", "seg")
     hits = near.groupBy(F.expr("seg div 1000000").alias("access")).agg(F.count_distinct("poi_id").alias("siniestros"))
-    starts = segments(spark, d).select(F.expr("seg div 1000000").alias("access")).where("access % 11 = 0").distinct()
+    starts = segments(spark, d).select(F.expr("seg div 1000000").alias("access")).distinct()
     km = b.roads(spark, d).groupBy(F.col("u").alias("access")).agg((F.sum("length_m") / 1000).alias("km"))
     x = starts.join(hits, "access", "left").fillna(0).join(km, "access").join(b.cells(spark, d).select(F.col("hex_id").alias("access"), F.col("weight").alias("risk")), "access")
     return rounded(allocation.control_ranking(x))
@@ -270,27 +267,27 @@ def k01_seasonal_naive(spark: SparkSession, d: str) -> DataFrame:
     return rounded(forecast.seasonal_naive(b.monthly(spark, d, by_type=True), ["tipo"]))
 
 
-_BACKTEST = ", o AS (SELECT tipo, ds AS origin, row_number() OVER (PARTITION BY tipo ORDER BY ds DESC) AS back FROM monthly_type), g AS (SELECT tipo, origin, CAST(h AS INT) AS h, CAST(origin + to_months(CAST(h AS INT)) AS DATE) AS ds, CAST(origin + to_months(CAST(h AS INT) - 12) AS DATE) AS src FROM o, range(1, 13) r(h) WHERE back BETWEEN 2 AND 25), bt AS (SELECT g.tipo, g.origin, g.h, a.y AS real, p.y AS pred FROM g JOIN monthly_type a ON a.tipo = g.tipo AND a.ds = g.ds JOIN monthly_type p ON p.tipo = g.tipo AND p.ds = g.src)"
+_BACKTEST = ", o AS (SELECT tipo, ds AS origin, row_number() OVER (PARTITION BY tipo ORDER BY ds DESC) AS back FROM monthly_type), g AS (SELECT tipo, origin, CAST(h AS INT) AS h, CAST(origin + to_months(CAST(h AS INT)) AS DATE) AS ds, CAST(origin + to_months(CAST(h AS INT) - 12) AS DATE) AS src FROM o, range(1, 13) r(h) WHERE back BETWEEN 2 AND 85), bt AS (SELECT g.tipo, g.origin, g.h, a.y AS real, p.y AS pred FROM g JOIN monthly_type a ON a.tipo = g.tipo AND a.ds = g.ds JOIN monthly_type p ON p.tipo = g.tipo AND p.ds = g.src)"
 
 
 @query("k04_backtest_naive", _BACKTEST + " SELECT * FROM bt")
 def k04_backtest_naive(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.backtest_naive(b.monthly(spark, d, by_type=True), 24, ["tipo"])
+    return forecast.backtest_naive(b.monthly(spark, d, by_type=True), 84, ["tipo"])
 
 
 @query("k05_horizon_bands", _BACKTEST + " SELECT tipo, h, round(quantile_cont(pred - real, 0.05), 6) AS q_low, round(quantile_cont(pred - real, 0.95), 6) AS q_high FROM bt GROUP BY tipo, h")
 def k05_horizon_bands(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(forecast.error_bands(forecast.backtest_naive(b.monthly(spark, d, by_type=True), 24, ["tipo"]), by=["tipo"]))
+    return rounded(forecast.error_bands(forecast.backtest_naive(b.monthly(spark, d, by_type=True), 84, ["tipo"]), by=["tipo"]))
 
 
 @query("k02_backtest_models")
 def k02_backtest_models(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(forecast.backtest_models(b.monthly(spark, d, by_type=True), "tipo", 6))
+    return rounded(forecast.backtest_models(b.monthly(spark, d, by_type=True), "tipo", 84))
 
 
 @query("a06_forecast_errors", _BACKTEST + " SELECT h, count(*) AS n, round(avg(abs(pred - real)), 6) AS mae, round(sqrt(avg((pred - real) * (pred - real))), 6) AS rmse, round(avg(pred - real), 6) AS bias, round(sum(pred) / sum(real), 6) AS level FROM bt GROUP BY h")
 def a06_forecast_errors(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.error_summary(forecast.backtest_naive(b.monthly(spark, d, by_type=True), 24, ["tipo"]), ["h"]))
+    return rounded(metrics.error_summary(forecast.backtest_naive(b.monthly(spark, d, by_type=True), 84, ["tipo"]), ["h"]))
 
 
 @query("c07_last_24_months", ", m AS (SELECT max(CAST(date_trunc('month', fecha) AS DATE)) AS top FROM incidents), g AS (SELECT CAST(top - to_months(CAST(k AS INT)) AS DATE) AS ds FROM m, range(24) r(k)), t AS (SELECT DISTINCT tipo FROM incidents) SELECT t.tipo, g.ds, coalesce(n, 0) AS n FROM g CROSS JOIN t LEFT JOIN (SELECT tipo, CAST(date_trunc('month', fecha) AS DATE) AS ds, count(*) AS n FROM incidents GROUP BY 1, 2) k ON k.tipo = t.tipo AND k.ds = g.ds")

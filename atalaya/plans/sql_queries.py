@@ -161,11 +161,9 @@ shared(
     """SELECT i.hex_id, round(sum(w.weight), 6) AS n FROM {incidents} i JOIN (SELECT tipo, (a * 1e0 / sum(a) OVER ()) / (b * 1e0 / sum(b) OVER ()) AS weight FROM
     (SELECT tipo, sum(CASE WHEN year(fecha) = 1999 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN year(fecha) = 2000 THEN 1 ELSE 0 END) AS b FROM {incidents} GROUP BY tipo) t) w ON w.tipo = i.tipo WHERE year(i.fecha) = 2000 GROUP BY i.hex_id""",
 )
-shared("k05_error_bands", "SELECT month(ds) AS h, round(quantile_low, 4) AS low, round(quantile_high, 4) AS high FROM (SELECT ds, min(e) OVER (PARTITION BY month(ds)) AS quantile_low, max(e) OVER (PARTITION BY month(ds)) AS quantile_high, row_number() OVER (PARTITION BY month(ds) ORDER BY ds DESC) AS rn FROM (SELECT ds, lag(y, 12) OVER (ORDER BY ds) - y AS e FROM {monthly}) s) t WHERE rn = 1")
 shared("l08_combined_surface", "SELECT hex_id, turno, round(avg(score), 6) AS score FROM (SELECT hex_id, turno, n * 1e0 / max(n) OVER (PARTITION BY tipo) AS score FROM (SELECT hex_id, turno, tipo, count(*) AS n FROM {incidents} WHERE year(fecha) = 2000 GROUP BY hex_id, turno, tipo) c) s GROUP BY hex_id, turno")
 
 # --- dashboard ------------------------------------------------------------------------------------------------------
-shared("c02_filtered_totals", "SELECT count(*) AS n, round(sum(c.weight), 4) AS people, round(count(*) * 100000.0 / sum(c.weight), 4) AS rate FROM {incidents} i JOIN {cells} c ON c.hex_id = i.hex_id WHERE c.comuna_id = 7 AND i.tipo = 'R'")
 shared("c03_yearly_delta", "SELECT tipo, anio, n, n - lag(n) OVER (PARTITION BY tipo ORDER BY anio) AS delta FROM (SELECT tipo, year(fecha) AS anio, count(*) AS n FROM {incidents} GROUP BY 1, 2) t")
 shared("c06_peaks", "SELECT tipo, hora, n, n < 1000 AS small FROM (SELECT tipo, hora, n, row_number() OVER (PARTITION BY tipo ORDER BY n DESC, hora) AS rn FROM (SELECT tipo, hora, count(*) AS n FROM {incidents_h} GROUP BY tipo, hora) h) r WHERE rn = 1")
 shared("c08_nearest_k", "SELECT k FROM (SELECT p_size AS k, row_number() OVER (ORDER BY abs(p_size - 33), p_size) AS rn FROM {part}) r WHERE rn = 1")
@@ -176,7 +174,6 @@ shared("c14_top_categories", "SELECT p_type, count(*) AS n FROM {part} GROUP BY
 shared("p02_column_subset", "SELECT s_suppkey, s_name, s_nationkey FROM {supplier}")
 shared("p07_fill_from_other", "SELECT p_partkey, trim(coalesce(CASE WHEN p_size > 25 THEN p_name END, concat(p_brand, ' ', p_type))) AS name FROM {part}")
 shared("p08_alias_replacement", "SELECT n_nationkey, CASE n_name WHEN 'NATION_0' THEN 'FIRST' WHEN 'NATION_1' THEN 'SECOND' ELSE n_name END AS name FROM {nation}")
-shared("p09_digit_rows", "SELECT poi_id, CAST(x AS BIGINT) AS x FROM {pois} WHERE regexp_replace(CAST(x AS VARCHAR(30)), '^[0-9]+$', '') = ''")
 shared(
     "p11_dialect_union",
     "SELECT 'order' AS kind, o_orderkey AS id, CAST(o_orderdate AS DATE) AS fecha, o_totalprice AS amount FROM {orders} WHERE o_orderstatus = 'P' UNION ALL SELECT 'event', event_id, CAST(ts AS DATE), value FROM {events} WHERE event_type = 'purchase'",
@@ -189,7 +186,6 @@ shared("j02_composite_join", "SELECT g.hex_id, g.turno, coalesce(n, 0) AS n FROM
 shared("j06_station_flow", "SELECT c.comuna_id, i.hora, count(*) AS viajes, round(sum(i.value), 4) AS pasajeros FROM {incidents_h} i JOIN {cells} c ON c.hex_id = i.hex_id GROUP BY c.comuna_id, i.hora")
 shared("j08_inner_of_aggregates", "SELECT a.zone, a.n AS homes, b.n AS offices FROM (SELECT c_nationkey AS zone, count(*) AS n FROM {customer} GROUP BY c_nationkey) a JOIN (SELECT s_nationkey AS zone, count(*) AS n FROM {supplier} GROUP BY s_nationkey) b ON a.zone = b.zone")
 shared("j09_lookup_with_mean", "SELECT c.hex_id, round(coalesce(m.m, (SELECT avg(value) FROM {incidents_h})), 6) AS m FROM {cells} c LEFT JOIN (SELECT hex_id, avg(value) AS m FROM {incidents_h} WHERE hora < 2 GROUP BY hex_id) m ON m.hex_id = c.hex_id")
-shared("j21_regex_key_join", "SELECT p.brand, count(*) AS parts, min(z.n_name) AS zone FROM (SELECT p_brand AS brand, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS line FROM {part}) p JOIN {nation} z ON z.n_nationkey = p.line % 25 GROUP BY p.brand")
 shared("j22_alias_sum", "SELECT coalesce(a.alias, n.n_name) AS name, sum(k.n) AS n FROM {nation} n JOIN (SELECT s_nationkey, count(*) AS n FROM {supplier} GROUP BY s_nationkey) k ON k.s_nationkey = n.n_nationkey LEFT JOIN (SELECT n_nationkey AS k, 'JOINED' AS alias FROM {nation} WHERE n_nationkey IN (3, 4, 5)) a ON a.k = n.n_nationkey GROUP BY 1")
 shared("a19_victim_summary", "SELECT subtipo, count(*) AS facts, sum(CASE WHEN cantidad >= 40 THEN 1 ELSE 0 END) AS victims, sum(CASE WHEN cantidad >= 40 THEN 1 ELSE 0 END) = 0 AS none FROM {incidents} WHERE year(fecha) BETWEEN 1998 AND 2001 GROUP BY subtipo")
 shared("a20_kpis", "SELECT year(fecha) AS anio, count(*) AS delitos, count(DISTINCT hex_id) AS cells, count(DISTINCT fecha) AS days, round(count(*) * 1e0 / count(DISTINCT fecha), 6) AS per_day FROM {incidents} GROUP BY 1")
@@ -197,8 +193,5 @@ shared("a31_zone_bundle", "SELECT r.r_name, n.n_name, count(c.c_custkey) AS peop
 shared("w06_ranking", "SELECT hex_id, rank() OVER (ORDER BY weight DESC) AS place, dense_rank() OVER (ORDER BY comuna_id) AS zone_place FROM {cells}")
 shared("f09_month_truncation", "SELECT CAST(date_trunc('month', fecha) AS DATE) AS mes, count(*) AS n FROM {incidents} GROUP BY 1")
 shared("f10_covered_days", "SELECT anio, sum(d) AS days FROM (SELECT year(m) AS anio, extract(DAY FROM last_day(m)) AS d FROM (SELECT DISTINCT CAST(date_trunc('month', fecha) AS DATE) AS m FROM {incidents}) x) y GROUP BY anio")
-shared("c10_plan_vs_today", "SELECT comuna_id, round(plan - today, 6) AS change, plan < today AS worse FROM (SELECT comuna_id, avg(CASE WHEN hex_id % 3 = 0 THEN weight ELSE 0e0 END) AS plan, avg(CASE WHEN hex_id % 4 = 0 THEN weight ELSE 0e0 END) AS today FROM {cells} GROUP BY comuna_id) x")
-shared("c11_best_by_horizon", "SELECT mes, tipo FROM (SELECT month(ds) AS mes, tipo, row_number() OVER (PARTITION BY month(ds) ORDER BY avg(y) DESC, tipo) AS rn FROM {monthly_type} GROUP BY month(ds), tipo) r WHERE rn = 1")
 shared("c04_surface_fallback", "SELECT c.hex_id, coalesce(t.n, a.n, 0) AS score FROM {cells} c LEFT JOIN (SELECT hex_id, count(*) AS n FROM {incidents} WHERE tipo = 'R' AND turno = 'Noche' AND year(fecha) = 2001 GROUP BY hex_id) t ON t.hex_id = c.hex_id LEFT JOIN (SELECT hex_id, count(*) AS n FROM {incidents} GROUP BY hex_id) a ON a.hex_id = c.hex_id")
 shared("l10_daily_from_shifts", "SELECT hex_id, fecha, sum(n) AS n FROM (SELECT hex_id, fecha, turno, count(*) AS n FROM {incidents} WHERE year(fecha) = 2001 GROUP BY hex_id, fecha, turno) s GROUP BY hex_id, fecha")
-shared("e08_historical_means", "SELECT hex_id, turno, round(avg(n), 6) AS all_years, round(avg(CASE WHEN anio >= 1998 THEN n END), 6) AS recent, round(max(CASE WHEN anio = 1999 THEN n END) * 1e0, 6) AS last_year FROM (SELECT hex_id, turno, year(fecha) AS anio, count(*) * 1e0 AS n FROM {incidents} WHERE year(fecha) <= 1999 GROUP BY 1, 2, 3) y GROUP BY hex_id, turno")

@@ -126,3 +126,25 @@ def cached(path: str, fetch: Callable[[str], None], valid: Callable[[str], bool]
             if attempt == tries - 1:
                 raise
     raise OSError(f"{path} is not valid after {tries} tries")
+
+
+def normalise_flow(df: DataFrame, lines: str = r"^(?i:linea)[ _]*") -> DataFrame:
+    """fecha, hora, estacion, linea, cantidad of a raw ridership file, whatever its year's headers.
+
+    The measure is the column whose name holds `total` or `cantidad`, one with `pax` first; the hour comes from `desde`
+    (HH:MM:SS) or `hora`; dates are day first. Rows without date, hour or measure are dropped.
+    """
+    x = normalize_columns(df)
+    found = sorted((c for c in x.columns if "total" in c or "cantidad" in c), key=lambda c: ("pax" not in c, c))
+    hour = next((c for c in ("desde", "hora") if c in x.columns), None)
+    if not found or hour is None:
+        raise ValueError(f"no measure or no hour in {x.columns}")
+    day = F.coalesce(*[F.try_to_date("fecha", f) for f in ("d/M/yyyy", "yyyy-MM-dd")])
+    out = x.select(day.alias("fecha"), F.split(F.col(hour).cast("string"), ":").getItem(0).try_cast("int").alias("hora"), "estacion", F.regexp_replace("linea", lines, "").alias("linea"), F.col(found[0]).try_cast("double").alias("cantidad"))
+    return out.where("fecha IS NOT NULL AND hora IS NOT NULL AND cantidad IS NOT NULL")
+
+
+def split_frames(df: DataFrame, year: str, columns: Sequence[str], train_to: int, val: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Train, validation and test rows of a table by year, with just the columns asked for."""
+    x = df.select(*columns, F.col(year).alias("__y"))
+    return tuple(x.where(c).drop("__y") for c in (F.col("__y") <= train_to, F.col("__y") == val, F.col("__y") > val))

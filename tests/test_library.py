@@ -1,5 +1,8 @@
 """The reference's unit assertions, invariants of the operators, and every query against its SQL on the small tables."""
 
+import itertools
+import math
+import random
 import zipfile
 from datetime import date
 
@@ -9,15 +12,16 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from atalaya import bindings as b
+from atalaya.functions import scalars
 from atalaya.functions.scalars import SHIFTS, day_first, hour_of, percent_rank_average, period_date, shift_of, single_date, thousands, wkt_point
-from atalaya.operators import allocation, forecast, graph, grid, metrics, models, panel, spatial
+from atalaya.operators import allocation, forecast, graph, grid, metrics, models, panel, spatial, statistics
 from atalaya.plans import ORACLES, QUERIES
 from atalaya.sources import readers
 from atalaya.streaming import ingest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Checked here; all of them are checked by the driver.
-SAMPLE = ["flagship_hotspots", "w03_weekly_panel", "m01_moran", "j14_point_in_polygon", "j17_overlay_area", "r02_reachable", "e06_conformal", "a27_lorenz", "k05_horizon_bands", "o07_camera_weights", "a12_profiles", "w09_activity"]
+SAMPLE = ["flagship_hotspots", "w03_weekly_panel", "m01_moran", "j14_point_in_polygon", "j17_overlay_area", "r02_reachable", "e06_conformal", "a27_lorenz", "k05_horizon_bands", "o07_camera_weights", "a12_profiles", "w09_activity", "g03_cells_of_polygons", "o04_radius_sweep", "m03_local_moran_p", "e08_historical_means", "s12b_normalised_flow", "o10_buffer_sweep"]
 
 
 def test_shifts(spark):
@@ -186,3 +190,92 @@ def test_against_sql(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 4
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_nearest_with_nulls_and_far_points(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 5.0), (3, 1e6, 1e6), (4, 3.0, None)], "a long, x double, y double")
+    right = spark.createDataFrame([(10, 3.0, 4.0), (11, 0.0, 5.0), (12, None, 0.0)], "b long, x double, y double")
+    got = {r.a: (r.b, r.dist) for r in spatial.nearest(left, right, "a", "b", 1.0).collect()}
+    assert got[1] == (10, 5.0)
+    assert got[2] == got[4] == (None, None)
+    assert got[3][0] == 10
+    none = spatial.nearest(left, right.where("false"), "a", "b", 1.0).collect()
+    assert sorted(r.a for r in none) == [1, 2, 3, 4]
+    assert all(r.b is None for r in none)
+
+
+def test_nearest_segment_reaches_all_points(spark):
+    points = spark.createDataFrame([(1, 0.0, 1.0), (2, 9e4, 0.0), (3, None, 0.0)], "p long, x double, y double")
+    segments = spark.createDataFrame([(7, 0.0, 0.0, 10.0, 0.0), (8, 0.0, 2.0, 10.0, 2.0)], "s long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.p: (r.s, r.dist) for r in spatial.nearest_segment(points, segments, 5.0, "p", "s").collect()}
+    assert got == {1: (7, 1.0), 2: (7, 89990.0)}
+
+
+@pytest.mark.parametrize("tau", [0.5, 3.0, 365.0])
+def test_activity_over_ten_years(spark, tau):
+    rng = random.Random(5)
+    y = [rng.choice([0, 0, 1, 2]) for _ in range(3653)]
+    got = [r.a for r in models.activity(spark.createDataFrame([(1, t, v) for t, v in enumerate(y)], "hex_id long, t long, y long"), tau).orderBy("t").collect()]
+    phi, want = math.exp(-1 / tau), [0.0]
+    for v in y[:-1]:
+        want.append(phi * want[-1] + (1 - phi) * v)
+    assert max(abs(a - w) for a, w in zip(got, want, strict=True)) < 1e-9
+
+
+def test_hawkes_grid_finds_the_decay(spark):
+    rng = random.Random(8)
+    rows = []
+    for cell in range(12):
+        a, phi = 0.0, math.exp(-1 / 3)
+        for t in range(300):
+            lam, n, p = 0.2 + 0.6 * a, 0, rng.random()
+            q = term = math.exp(-lam)
+            while p > q:
+                n += 1
+                term *= lam / n
+                q += term
+            rows.append((cell, t, n))
+            a = phi * a + (1 - phi) * n
+    daily = spark.createDataFrame(rows, "hex_id long, t long, y long")
+    ring = spark.createDataFrame([], "hex_id long, nbr long, k int")
+    fits = models.tune_hawkes(daily, ring, (0.5, 3.0, 60.0), 240, 30).orderBy("nll").collect()
+    assert fits[0].tau == 3.0
+    assert abs(fits[0].theta0 - 0.6) < 0.15
+    assert all(r.nll is not None for r in fits)
+
+
+def test_cover_bound_and_floor(spark):
+    rng = random.Random(2)
+    cover = [(c, dm) for c in range(12) for dm in rng.sample(range(30), 6)]
+    weights = [(dm, float(rng.randint(1, 9)), dm % 4) for dm in range(30)]
+    plan = allocation.greedy_cover(spark.createDataFrame(cover, "candidate long, demand long"), spark.createDataFrame(weights, "demand long, weight double, g long"), 3).collect()
+    by, total = {c: {dm for x, dm in cover if x == c} for c in range(12)}, sum(w for _, w, _ in weights)
+    share = lambda sites: sum(w for dm, w, _ in weights if any(dm in by[c] for c in sites)) / total
+    best = max(share(s) for s in itertools.combinations(range(12), 3))
+    assert abs(plan[-1].covered - share([r.candidate for r in plan])) < 1e-9
+    assert plan[-1].covered <= best + 1e-9 <= plan[-1].bound + 2e-9
+
+
+def test_local_p_of_an_island(spark):
+    values = spark.createDataFrame([(i, float(i % 5)) for i in range(9)], "hex_id long, v double")
+    weights = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "hex_id long, nbr long, w double")
+    got = {r.hex_id: r.p for r in statistics.local_moran_p(values, weights, 99).collect()}
+    assert len(got) == 9
+    assert got[5] == 1.0
+    assert 0 < got[0] < 1
+
+
+def test_polygon_cells_meet_their_area(spark):
+    ring = "array(struct(0d AS x, 0d AS y), struct(900d AS x, 0d AS y), struct(900d AS x, 700d AS y), struct(0d AS x, 700d AS y))"
+    for turned in (ring, f"reverse({ring})"):
+        got = spatial.cells_of_polygons(spark.sql(f"SELECT 1 AS id, {turned} AS ring"), 100.0, "id").collect()
+        cells = {(r.q, r.r) for r in got}
+        assert len(cells) == len(got) and 24 <= len(cells) <= 50
+        assert (0, 0) in cells
+
+
+def test_scalars_of_the_last_rows(spark):
+    df = spark.createDataFrame([('["a","b"]',), ("c",), (None,)], "t string")
+    assert [list(r[0]) for r in df.select(scalars.as_list(F.col("t"))).collect()] == [["a", "b"], ["c"], []]
+    one = spark.range(1).select(scalars.slug(F.lit("Línea  Ñandú 4")), scalars.capacity(F.lit("hasta 12.500 o más")), scalars.capacity(F.lit("sin")), scalars.crown_radius(F.lit(0.0), F.lit(10.0)))
+    assert one.first()[:] == ("linea_nandu_4", 12500.0, None, 2.2)

@@ -51,11 +51,15 @@ def interval_report(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def higher_quantile(df: DataFrame, score: str, level: float, by: Sequence[str] = ()) -> DataFrame:
-    """The finite-sample conformal quantile: order statistic at index ceil((n - 1) min(1, ceil((n + 1) level) / n))."""
+    """The finite-sample conformal quantile: order statistic at index ceil((n - 1) min(1, ceil((n + 1) level) / n)).
+
+    Equal scores are counted first, so the windows run over distinct values, not rows.
+    """
     group = Window.partitionBy(*by)
-    ranked = df.select(*by, score, (F.row_number().over(group.orderBy(score)) - 1).alias("i"), F.count("*").over(group).alias("n"))
+    levels = df.groupBy(*by, score).agg(F.count("*").alias("__c"))
+    ranked = levels.select(*by, score, "__c", F.sum("__c").over(group.orderBy(score)).alias("__upto"), F.sum("__c").over(group).alias("n"))
     at = F.ceil(F.round((F.col("n") - 1) * F.least(F.lit(1.0), F.ceil(F.round((F.col("n") + 1) * level, 9)) / F.col("n")), 9))
-    return ranked.where(F.col("i") == at).select(*by, "n", F.col(score).alias("q"))
+    return ranked.where((F.col("__upto") > at) & (F.col("__upto") - F.col("__c") <= at)).select(*by, "n", F.col(score).alias("q"))
 
 
 def poisson_nll(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SHIFTS, week_start
+from .tables import cut
 
 #: Fixed values of each grain: lags and rolling windows in periods, and the rolling sum that neighbours share.
 GRAINS = {"day": ((7, 30, 365), (7, 30), 30), "week": ((1, 4, 52), (4, 12), 4)}
@@ -47,7 +48,7 @@ def lag_features(panel: DataFrame, grain: str = "day", by: Sequence[str] = ("hex
 
 def neighbour_features(featured: DataFrame, ring: DataFrame, grain: str = "day") -> DataFrame:
     """nbr1 and nbr2: sums of the neighbours' own rolling sums at rings 1 and 2; null in the first period, else 0 or more."""
-    roll = f"roll_{GRAINS[grain][2]}"
+    roll, featured = f"roll_{GRAINS[grain][2]}", cut(featured)  # read three times
     sums = featured.where(F.col(roll) != 0).select(F.col("hex_id").alias("nbr"), "period", "turno", F.col(roll).alias("v")).join(ring, "nbr")
     sums = sums.groupBy("hex_id", "period", "turno").agg(*[F.sum(F.when(F.col("k") == k, F.col("v"))).alias(f"nbr{k}") for k in (1, 2)])
     first = featured.agg(F.min("period").alias("first"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..functions.scalars import SHIFTS, fold_name, hour_of, one_every, rate_per_100k, regional_number, shift_of, tokens
 from ..operators import grid, metrics, models, panel, statistics
+from ..operators.tables import cut
 from .registry import query
 
 #: Shares of units called hot, and the decays in days that the fit tries.
@@ -43,20 +44,19 @@ def baseline_scores(spark: SparkSession, d: str) -> DataFrame:
 
     Dense over cells and shifts; cells without history take the mean of means.
     """
-    x = b.incidents(spark, d)
-    past, now = x.where(F.year("fecha") <= 1999), x.where(F.year("fecha") == 2000)
-    mean = past.groupBy("hex_id", "turno").agg(F.count("*").alias("c")).join(F.broadcast(past.agg(F.count_distinct("fecha").alias("days"))), how="cross")  # one row
-    mean = mean.select("hex_id", "turno", (F.col("c") / F.col("days")).alias("m"))
-    real = now.groupBy("hex_id", "turno").agg(F.count("*").alias("n"))
-    one = mean.agg(F.avg("m").alias("g")).join(now.agg(F.count_distinct("fecha").alias("d")), how="cross")  # one row each
+    x = b.incidents(spark, d).select("hex_id", "turno", "fecha", F.year("fecha").alias("y")).where("y <= 2000")
+    # One pass counts both periods; null where a cell and shift has none.
+    counts = x.groupBy("hex_id", "turno").agg(F.sum(F.when(F.col("y") <= 1999, 1)).alias("c"), F.sum(F.when(F.col("y") == 2000, 1)).alias("n"))
+    days = x.agg(F.count_distinct(F.when(F.col("y") <= 1999, F.col("fecha"))).alias("days"), F.count_distinct(F.when(F.col("y") == 2000, F.col("fecha"))).alias("d"))
+    one = days.join(counts.agg(F.avg("c").alias("g")), how="cross")  # one row each
     dense = b.cells(spark, d).select("hex_id", "comuna_id", F.explode(F.array(*map(F.lit, SHIFTS))).alias("turno"))
-    out = dense.join(mean, ["hex_id", "turno"], "left").join(real, ["hex_id", "turno"], "left").join(F.broadcast(one), how="cross")
-    return out.select("hex_id", "comuna_id", "turno", F.coalesce("n", F.lit(0)).alias("real"), F.round(F.coalesce("m", "g") * F.col("d"), 6).alias("pred"))
+    out = dense.join(counts, ["hex_id", "turno"], "left").join(F.broadcast(one), how="cross")
+    return out.select("hex_id", "comuna_id", "turno", F.coalesce("n", F.lit(0)).alias("real"), F.round(F.coalesce("c", "g") / F.col("days") * F.col("d"), 6).alias("pred"))
 
 
 @query("flagship_hotspots", _BASELINE + _HOTSPOTS + "SELECT h.k, top_n, round(recall, 6) AS recall, round(recall / h.k, 6) AS pai, round(pei, 6) AS pei, round((SELECT avg(abs(pred - real)) FROM scored), 6) AS mae, round((SELECT sum(pred) / sum(real) FROM scored), 6) AS level FROM hot h")
 def flagship_hotspots(spark: SparkSession, d: str) -> DataFrame:
-    scored = baseline_scores(spark, d)
+    scored = cut(baseline_scores(spark, d))
     cells = scored.groupBy("hex_id").agg(F.sum("real").alias("real"), F.round(F.sum("pred"), 6).alias("pred"))
     errors = metrics.error_summary(scored).select("mae", "level")
     return rounded(metrics.hotspots(cells, SHARES).join(F.broadcast(errors), how="cross"))  # one row

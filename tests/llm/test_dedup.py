@@ -2,10 +2,10 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 import regex
-import xxhash
 from pyspark.sql import types as T
 
 from atalaya.llm import components, line_dedup, near_dedup
@@ -108,12 +108,7 @@ def test_components(spark):
 
 
 def normal(line):
-    return regex.sub(r"[^\p{L}\p{N}\n]+", " ", line.lower()).strip(" ")
-
-
-def simhash(line):
-    hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in line.split(" ")]
-    return sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    return " ".join(regex.findall(r"[\p{L}\p{N}]+", line.lower()))
 
 
 def distance(a, b):
@@ -126,17 +121,22 @@ def distance(a, b):
 
 
 def similar(a, b):
-    if max(len(a), len(b)) > line_dedup.LONG:
-        a, b = a.split(" "), b.split(" ")
-    return distance(a, b) <= int((1 - line_dedup.SIMILAR) * max(len(a), len(b)))
+    """By words, or by letters where few words differ; the bags of words give a lower bound first."""
+    v, w = a.split(" "), b.split(" ")
+    most = max(len(v), len(w)) // 5
+    bags = Counter(v), Counter(w)
+    if max(sum((bags[0] - bags[1]).values()), sum((bags[1] - bags[0]).values())) > max(most, line_dedup.FEW):
+        return False
+    d = distance(v, w)
+    return d <= most or d <= line_dedup.FEW and distance(a, b) <= max(len(a), len(b)) // 5
 
 
 def brute_lines(rows):
     nodes = sorted({normal(x) for _, t in rows if t for x in t.split("\n")} - {""})
-    prints, u = [simhash(x) for x in nodes], Union()
+    u, sizes = Union(), [x.count(" ") for x in nodes]
     for i, a in enumerate(nodes):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= line_dedup.RADIUS and similar(a, nodes[j]):
+            if abs(sizes[i] - sizes[j]) <= max(line_dedup.FEW, max(sizes[i], sizes[j]) // 5 + 1) and similar(a, nodes[j]):
                 u.join(a, nodes[j])
     first, at = {}, {}
     for i, t in rows:
@@ -152,9 +152,9 @@ def brute_lines(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("small", [24, 2])
-def test_line_dedup(spark, monkeypatch, small):
-    monkeypatch.setattr(line_dedup, "SMALL", small)
+@pytest.mark.parametrize("large", [32, 2])
+def test_line_dedup(spark, monkeypatch, large):
+    monkeypatch.setattr(line_dedup, "LARGE", large)
     rng = random.Random(21)
     vocabulary = ["".join(rng.choices("abcdefghé", k=rng.randint(2, 8))) for _ in range(300)]
     lines = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 40))) for _ in range(50)] + ["", "###", "One!", "one", " ".join(rng.choices(vocabulary, k=400))]

@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
-Kinds: email, ip, card (Luhn), phone, and iban (mod 97). A span's score starts from its kind, gains where a checksum
-holds and where one of the kind's context words stands shortly before it. Base kinds are reported whatever their score;
+Kinds: email, ip, card (Luhn), phone, and iban (mod 97; also in groups of four). A span's score starts from its kind,
+gains where a checksum holds and where one of the kind's context words stands within 48 characters before or after it,
+with no other span of the kind between. Base kinds are reported whatever their score;
 an IBAN must pass its checksum.
 
 Defined results: a null or empty text has no spans; very long digit runs, addresses and texts are matched in linear time
@@ -23,7 +24,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|\x20[A-Z0-9]{4}\x20[A-Z0-9]{4}(?:\x20(?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}){1,5}(?:\x20(?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
 }
 HINTS = {"email": "contains(__text, '@')", "phone": "contains(__text, '+')", "ip": None, "card": None, "iban": None}
 BASE = ("email", "ip", "card", "phone")
@@ -47,15 +48,16 @@ CHECKS = {
     "ip": "forall(split(x.v, '[.]'), p -> length(ltrim('0', p)) <= 3 AND coalesce(try_cast(right(p, 4) AS int), 0) <= 255)",
     "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND {luhn(_DIGITS)}",
     "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
-    "iban": mod97("x.v"),
+    "iban": mod97("replace(x.v, ' ', '')"),
 }
 #: Score of the kind alone, and with its checksum.
 SCORES = {"email": 0.8, "ip": 0.5, "card": 0.8, "phone": 0.5, "iban": 0.9}
+#: Context words of each kind, whole words only, in any case.
 CONTEXT = {
-    "email": "mail|contact|write|kontakt|correo|courriel",
-    "ip": "ip|host|server|address|serveur|servidor",
-    "card": "card|visa|credit|debit|karte|carte|tarjeta",
-    "phone": "tel|phone|call|mobile|fax|anruf|appel|llam",
+    "email": "e-?mails?|mail|contact|write|kontakt|correo|courriel",
+    "ip": "ip|hosts?|servers?|address(?:es)?|serveur|servidor",
+    "card": "cards?|visa|credit|debit|karte|kreditkarte|carte|tarjeta",
+    "phone": "tel|telephone|telefon|phone|call|mobile|fax|anruf|appel|llame|llamar",
     "iban": "iban|account|bank|konto|compte|cuenta",
 }
 
@@ -66,7 +68,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     found = found.select("doc_id", *[F.expr(spans("__text", PATTERNS[k], HINTS[k])).alias(f"__{k}") for k in PATTERNS])
     scored = []
     for k in PATTERNS:
-        score = f"least(1.0D, {SCORES[k]}D + IF(lower(x.before) RLIKE '{CONTEXT[k]}', 0.2D, 0.0D))"
+        score = rf"least(1.0D, {SCORES[k]}D + IF(concat_ws(' | ', x.before, x.after) RLIKE r'(?i)\b(?:{CONTEXT[k]})\b', 0.2D, 0.0D))"
         scored.append(F.expr(f"transform(filter(__{k}, x -> {CHECKS[k]}), x -> named_struct('s', x.s, 'v', x.v, 'score', {score}))").alias(k))
     return found.select("doc_id", *scored)
 

@@ -5,7 +5,8 @@ tests against "each symbol is drawn alike and alone": chi-squared uniformity of
 middle, and lag-1 serial correlation. Fisher's rule joins their p-values. For random tokens the joint p is uniform; for
 words and codes it piles up near 0. So for each encoding and length class the number of random tokens is estimated from
 the upper half of the p-values, and the class accepts p above the lowest level at which the estimated share of false
-discoveries stays within `fdr`. Short classes, where words pass the tests too, thus accept few or none.
+discoveries stays within `fdr`. That holds only where the upper half is flat: a class with significantly more p-values
+from 0.5 to 0.75 than above (two standard errors) is one of words that happen to pass, and accepts none.
 
 The level table has one row for an encoding, length class (powers of 2^(1/2)) and p-value bin: at most a few thousand
 rows whatever the input, which is the bound of its broadcast.
@@ -44,6 +45,8 @@ ENCODINGS = {
     "mixed": (".", _UPPER + _LOWER + _DIGITS + "+/-_"),
 }
 LEVELS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
+#: Halves the p-values above the last level.
+TOP = 0.75
 
 
 def _tail(z: str) -> str:
@@ -89,11 +92,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def accepted_levels(found: DataFrame, fdr: float) -> DataFrame:
     """encoding, band, level: the lowest p-value level whose estimated share of false discoveries is within fdr."""
-    bins = found.select(F.explode("random").alias("t")).select("t.encoding", "t.band", F.expr(f"size(filter(array{LEVELS}, l -> t.p > l))").alias("above"))
+    bins = found.select(F.explode("random").alias("t")).select("t.encoding", "t.band", F.expr(f"size(filter(array{(*LEVELS, TOP)}, l -> t.p > l))").alias("above"))
     bins = bins.groupBy("encoding", "band", "above").agg(F.count("*").alias("n"))
     # above = how many levels p exceeds; the last level is 0.5, whose upper half estimates the random tokens.
-    sums = [F.sum(F.when(F.col("above") > i, F.col("n")).otherwise(0)).alias(f"r{i}") for i in range(len(LEVELS))]
-    wide = bins.groupBy("encoding", "band").agg(*sums)
+    sums = [F.sum(F.when(F.col("above") > i, F.col("n")).otherwise(0)).alias(f"r{i}") for i in range(len(LEVELS) + 1)]
+    wide = bins.groupBy("encoding", "band").agg(*sums).where(f"r{len(LEVELS) - 1} - 2 * r{len(LEVELS)} <= 2 * sqrt(r{len(LEVELS) - 1})")
     last, level = f"r{len(LEVELS) - 1}", "CASE"
     for i, l in enumerate(LEVELS):
         level += f" WHEN r{i} > 0 AND greatest(0.0D, r{i} - 2.0D * {last} * {1 - l}D) <= {fdr}D * r{i} THEN {l}D"

@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from atalaya.llm import pii, secrets
+from atalaya.llm._spans import spans
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
 
@@ -67,6 +70,36 @@ def test_iban(spark):
     assert "iban:0:22" in r.spans
 
 
+def test_iban_in_groups_and_context(spark):
+    texts = ["GB82 WEST 1234 5698 7654 32 BANK", "hotel 10.0.0.1 shipping", "10.0.0.1 is the host", "the host is 10.0.0.1"]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).orderBy("doc_id").collect()
+    assert [(x.s, x.v) for x in got[0].iban] == [(0, "GB82 WEST 1234 5698 7654 32")]
+    assert [r.ip[0].score for r in got[1:]] == [0.5, 0.7, 0.7]
+
+
+def test_one_text_of_very_many_matches(spark):
+    n = 100_000
+    text = "12 a " * n
+    began = time.time()
+    frame = spark.createDataFrame([(1, text)], SCHEMA)
+    r = frame.select(F.expr(spans("text", "[0-9]+")).alias("m")).selectExpr("size(m) AS n", "m[0].s AS first", "m[99999].s AS last", "m[5].before AS b", "m[99999].after AS z").first()
+    assert tuple(r) == (n, 0, 5 * (n - 1), " a ", " a ")
+    assert pii.pii_digest(frame).first().n_card == 0
+    assert secrets.secret_digest(frame).first().n_hex == 0
+    assert time.time() - began < 90
+
+
+def test_planted_keys_are_found_and_words_are_not(spark):
+    rng = random.Random(13)
+    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    syllables = ["ba", "de", "ki", "lo", "mu", "na", "pe", "ri", "so", "tu"]
+    rows = [(i, "see " + "".join(rng.choices(abc, k=48)) + " here") for i in range(300)]
+    rows += [(1000 + i, "see " + "".join(rng.choices(syllables, k=12)) + str(rng.randint(1, 9)) + " here") for i in range(300)]
+    got = {r.doc_id: r.n_random for r in secrets.secret_digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[i] for i in range(300)) >= 270
+    assert sum(got[1000 + i] for i in range(300)) <= 15
+
+
 def test_battery_separates_random_from_words(spark):
     rng = random.Random(3)
     abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

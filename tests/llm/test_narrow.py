@@ -1,6 +1,7 @@
 """BPE, telephony audio and URL filters: against the library, scalar coding and brute force."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -51,7 +52,10 @@ def test_media_round_trip(spark):
         r = by_id[i]
         assert bytes(r.payload) == padded
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
-        assert len(r.pcm) == 4 * len(padded)
+        samples = np.frombuffer(r.mulaw_pcm, np.int16)
+        assert (samples[::2] == telephony.MULAW[np.frombuffer(padded, np.uint8)]).all()
+        assert [len(r[f"{k}_pcm"]) for k in telephony.KINDS] == [4 * len(padded), 4 * len(padded), 4 * telephony.PER * (len(padded) // telephony.BLOCK)]
+        assert r.feature.split(";")[0].endswith(f":{zlib.crc32(r.mulaw_pcm)}")
     assert by_id[None].feature == by_id[5000].feature
 
 
@@ -98,3 +102,36 @@ def test_url_filters(spark, sf_dir, rules):
     assert got == sorted(((i, *judged(u, rules)) for i, u in rows), key=str)
     assert url_filters.filter_urls(pages.limit(0)).count() == 0
     assert url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).count() == 50
+
+
+def test_url_rules_by_blocks_and_many_paths(spark, monkeypatch):
+    rules = [("block", "example.com", f"/p{i}/") for i in range(2000)] + [("allow", "example.com", f"/p{i}/a") for i in range(0, 2000, 7)] + [*url_filters.RULES]
+    rows = [(i, f"http://{h}/p{i}/{t}") for i, (h, t) in enumerate(itertools.product(("www.example.com", "example.com", "a.net"), ("a", "b", "")))] + [(100 + i, f"http://example.com/p{i}/ab") for i in range(0, 60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    want = sorted(((i, *judged(u, rules)) for i, u in rows), key=str)
+    assert sorted(map(tuple, url_filters.filter_urls(pages, rules).collect()), key=str) == want
+    monkeypatch.setattr(url_filters, "BLOCK", 700)
+    assert sorted(map(tuple, url_filters.filter_urls(pages, rules).collect()), key=str) == want
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert bpe.encode_decode(empty, WORD_BPE).count() == 0
+    assert telephony.decode_media(telephony.encode_media(empty)).count() == 0
+    wide = spark.createDataFrame([(1, "a b")], SCHEMA).selectExpr("*", "1 AS n_tokens", "'x' AS media", "2 AS n_bytes", "'y' AS ids")
+    assert bpe.encode_decode(wide, WORD_BPE).first().n_tokens == 2
+    assert telephony.decode_media(telephony.encode_media(wide)).first().n_bytes == 3
+
+
+def test_encoder_forgets_and_stays_right(monkeypatch):
+    monkeypatch.setattr(bpe, "KEEP_WORDS", 40)
+    monkeypatch.setattr(bpe, "KEEP_PAIRS", 30)
+    enc, lib = bpe.TrieEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    texts = random_texts(200)
+    for i in range(0, 200, 20):
+        runs = [enc.chunks(t) for t in texts[i : i + 20]]
+        enc.learn(runs)
+        for t, run in zip(texts[i : i + 20], runs, strict=True):
+            assert " ".join(x for x in (enc.known[c][1] for c in run) if x) == " ".join(map(str, lib.encode(t, add_special_tokens=False).ids))
+    enc.forget()
+    assert not enc.known and not enc.words and not enc.apart

@@ -1,13 +1,13 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are hashed: character-class grams (how a text is typed, whatever its language), runs of punctuation, repeated words
-and bands of simple ratios. Document frequencies come from one pass over all documents. A bounded sample of labelled
+Terms are hashed: words, character-class grams (how a text is typed, whatever its language), runs of punctuation,
+repeated words and bands of simple ratios. Document frequencies come from one pass over all documents. A bounded sample of labelled
 training rows (SAMPLE, taken by a hash of doc_id) gives the space (the top eigenvectors of its weighted terms) and the
 labelled vectors, at most SAMPLE x DIMS numbers, which bounds the broadcast. Every document's cosines with all labelled
 vectors are exact products of blocks; the K nearest vote with their similarity as weight.
 
 Defined results: null and empty texts have no terms and score the sample's mean label; without labelled rows every score
-is 0.5; among neighbours of equal similarity those with the lower hash order count; rows with a null label or doc_id are
+is 0.5; among neighbours of equal similarity (to five decimals) those with the lower hash order count; rows with a null label or doc_id are
 not learned from, and a doc_id labelled twice counts with its mean; repeated rows are scored alike.
 """
 
@@ -21,15 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import batches, held_out
-from ._words import words
+from ._words import U, words
 
 #: Labelled rows in the sample at most.
 SAMPLE = 4096
 DIMS = 48
 K = 25
 CUT = 0.3
-_GRAMS, _BANDS = 1536, 16
-TERMS = _GRAMS + 8 * _BANDS
+_GRAMS, _BANDS, _WORDS = 1024, 16, 1024
+TERMS = _GRAMS + 8 * _BANDS + _WORDS
+#: A word's weight beside a gram's.
+_WORD_WEIGHT = 0.5
 
 #: Classes of bytes: letters by case, digits, space, line ends; other bytes stand for themselves.
 _CLASS = np.arange(256, dtype=np.uint32)
@@ -46,7 +48,7 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     same = np.zeros(len(w.hashes) + 1, np.int64)
     same[1:-1] = np.cumsum(w.hashes[1:] == w.hashes[:-1]) if len(w.hashes) else 0
     same[-1] = same[-2] if len(same) > 1 else 0
-    grams = []
+    word, grams = ((w.hashes >> U(20)) % U(_WORDS)).astype(np.int64), []
     for size in (2, 4):
         h = np.zeros(max(0, len(classes) - size + 1), np.uint32)
         for k in range(size):
@@ -65,6 +67,7 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[i, :_GRAMS] = np.log1p(out[i, :_GRAMS] * (1000 / (b - a)))
         first, end = w.bounds[i], w.bounds[i + 1]
         m = max(1, end - first)
+        out[i, -_WORDS:] = _WORD_WEIGHT * np.log1p(np.bincount(word[first:end], minlength=_WORDS) * (1000 / (b - a)))
         upper, lower, digit, space, line = ((k[b] - k[a]) / (b - a) for k in kinds)
         ratios = (
             upper, digit, max(0.0, 1 - upper - lower - digit - space - line), len(np.unique(w.hashes[first:end])) / m,
@@ -99,6 +102,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def top_axes(x: np.ndarray, k: int, rounds: int = 40) -> np.ndarray:
+    """The k directions in which the rows of x vary most, by subspace iteration from a fixed start."""
+    square = (x.T @ x).astype(np.float64)
+    q = np.linalg.qr(np.random.default_rng(1).normal(size=(x.shape[1], k + 16)))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(square @ q)[0]
+    values, turn = np.linalg.eigh(q.T @ square @ q)
+    return (q @ turn[:, ::-1][:, :k]).astype(np.float32)
+
+
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Where the k largest values of each row are; of equal ones the first."""
+    n = near.shape[1]
+    if n <= k:
+        return np.ones_like(near, bool)
+    least = np.partition(near, n - k, axis=1)[:, n - k : n - k + 1]
+    above, equal = near > least, near == least
+    return above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+
+
 class Voters:
     """Term weights, the latent space and the labelled vectors in it."""
 
@@ -108,8 +131,7 @@ class Voters:
         self.labels = labels.astype(np.float32)
         x = _unit(counts * self.idf)
         self.centre = x.mean(0) if len(x) else np.zeros(TERMS, np.float32)
-        values, vectors = np.linalg.eigh(((x - self.centre).T @ (x - self.centre)).astype(np.float64)) if len(x) else (np.zeros(TERMS), np.eye(TERMS))
-        self.axes = vectors[:, ::-1][:, :DIMS].astype(np.float32)
+        self.axes = top_axes(x - self.centre, DIMS)
         self.vectors = _unit((x - self.centre) @ self.axes)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
@@ -119,11 +141,9 @@ class Voters:
         if not len(self.vectors) or not len(some):
             return out
         for rows in np.array_split(some, max(1, len(some) // 512)):
-            near = _unit((_unit(counts[rows] * self.idf) - self.centre) @ self.axes) @ self.vectors.T
-            k = min(K, near.shape[1])
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(near, top, 1), 1e-6) ** 4
-            out[rows] = (weight * self.labels[top]).sum(1) / weight.sum(1)
+            near = np.round(_unit((_unit(counts[rows] * self.idf) - self.centre) @ self.axes) @ self.vectors.T, 5)
+            weight = np.where(nearest(near, K), np.maximum(near, 1e-6) ** 4, 0).astype(np.float64)
+            out[rows] = weight @ self.labels / weight.sum(1)
         return out
 
 
@@ -140,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Voters
 
     # SAMPLE rows bound the broadcast; a doc_id that several documents share is learned from once.
     joined = _text(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(counts, "doc_id long, label double, terms binary")
-    got = joined.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("terms").alias("terms")).orderBy("doc_id").toArrow()
+    got = joined.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("terms").alias("terms")).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").toArrow()
     df, n = document_frequencies(docs)
     terms = np.frombuffer(b"".join(got.column("terms").to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     return Voters(terms, got.column("label").to_numpy(), df, n)

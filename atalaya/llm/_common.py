@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,9 +18,11 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The scratch folder that all executors share; one of its own only where the session names none (tests)."""
+    """The scratch folder that all executors share; one of its own only where one machine does all and none is named (tests)."""
     where, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = sc._text_scratch = getattr(sc, "_text_scratch", None) or tempfile.mkdtemp(prefix="spark-shared-")
     return where
 

@@ -5,11 +5,13 @@ items, so only those that hold one are fingerprinted: each shared shingle, at th
 The 64-bit SimHash of a window's words is looked up among items of its length: fingerprints within RADIUS differ in at
 most RADIUS bits, so of RADIUS + 1 blocks at least one is equal, and the block tables miss none. Candidates are verified
 by the exact weighted Jaccard similarity of their five-word shingles (items of fewer words: the whole sequence), where a
-shingle weighs the more, the fewer items hold it; 0.75 or more is a match. Items that share no shingle with a text have
+shingle of the item weighs the more, the fewer items hold it, and one that only the window has weighs most; 0.75 or more
+is a match. Items that share no shingle with a text have
 similarity 0 and are not verified for it.
 
-The benchmark is cut into blocks of ITEMS items. Weights come from all items, so a pair's similarity is the same however
-the benchmark is cut.
+The benchmark is cut into blocks of about ITEMS items by a hash; each block is collected, broadcast and searched for in a
+pass of its own, so what a task holds is bounded. In how many items a shingle is, is counted by Spark over all of them, so a
+pair's similarity is the same however the benchmark is cut.
 
 Defined results: null and empty texts, and items without words, match nothing; a text shorter than an item is one window;
 repeated rows are searched alike; equal items all match; very long texts are read whole.
@@ -18,14 +20,13 @@ repeated rows are searched alike; equal items all match; very long texts are rea
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import DOC_COLUMNS, batches
+from ._common import DOC_COLUMNS, batches, materialize, row_key
 from ._words import U, shingles, words
 
 SHINGLE = 5
@@ -85,20 +86,6 @@ class HammingIndex:
         return np.unique(np.concatenate(found))
 
 
-class Weights:
-    """The weights of word shingles: the more, the fewer of all items hold one; the most if none does."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        sets = [np.unique(shingles(x, min(SHINGLE, len(x)))) for _, x in _item_words(items)]
-        self.keys, held = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, U), np.zeros(0, int))
-        self.top = float(np.log1p(len(sets))) or 1.0
-        self.weights = np.log1p(len(sets) / np.maximum(held, 1))
-
-    def of(self, found: np.ndarray) -> float:
-        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-        return float(np.where(self.keys[at] == found, self.weights[at], self.top).sum())
-
-
 def _item_words(items: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
     """(item_id, hashes of its words) of the items that have words."""
     raw = [x.encode() for _, x in items]
@@ -109,15 +96,20 @@ def _item_words(items: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
 
 
 class Benchmark:
-    """Items' shingles with their places, and fingerprints by number of words."""
+    """Items' shingles with their places and weights, and fingerprints by number of words.
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    held: in how many of all total items each shingle is; one that is not named is in one.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], held: dict[int, int], total: int) -> None:
         kept = _item_words(items)
+        self.top = float(np.log1p(total)) or 1.0
         self.ids = [i for i, _ in kept]
         self.hashes = [x for _, x in kept]
         self.sizes = np.array([len(x) for x in self.hashes], np.int64)
         runs = [shingles(x, min(SHINGLE, len(x))) for x in self.hashes]
         self.sets = [np.unique(x) for x in runs]
+        self.weights = [np.log1p(total / np.array([held.get(k, 1) for k in x.view(np.int64).tolist()])) for x in self.sets]
         self.widths = sorted({min(SHINGLE, int(n)) for n in self.sizes})
         owner = np.repeat(np.arange(len(runs)), [len(x) for x in runs])
         place = np.concatenate([np.arange(len(x)) for x in runs]) if runs else np.zeros(0, np.int64)
@@ -133,11 +125,11 @@ class Benchmark:
             own = np.flatnonzero(self.sizes == n)
             self.by_size[n] = (own, HammingIndex(simhash(np.stack([self.hashes[k] for k in own])), RADIUS))
 
-    def similarity(self, window: np.ndarray, item: int, weights: Weights) -> float:
-        """Weighted Jaccard similarity of a window of words and an item."""
-        a, b = np.unique(shingles(window, min(SHINGLE, len(window), int(self.sizes[item])))), self.sets[item]
-        both = weights.of(np.intersect1d(a, b, assume_unique=True))
-        return both / (weights.of(a) + weights.of(b) - both)
+    def similarity(self, window: np.ndarray, item: int) -> float:
+        """Weighted Jaccard similarity of a window of words and an item; shingles that the item lacks weigh most."""
+        a, b, weights = np.unique(shingles(window, min(SHINGLE, len(window), int(self.sizes[item])))), self.sets[item], self.weights[item]
+        both = np.isin(b, a, assume_unique=True)
+        return float(weights[both].sum() / (weights.sum() + self.top * (len(a) - np.count_nonzero(both))))
 
     def windows(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, words, text) of the windows that a shared shingle fixes, each once; text * items + item that share one."""
@@ -161,7 +153,7 @@ class Benchmark:
             shared.append((text * len(self.ids) + self.owner[post])[whole])
         return np.unique(np.concatenate(out), axis=0), np.unique(np.concatenate(shared))
 
-    def search(self, data: np.ndarray, offsets: np.ndarray, weights: Weights) -> list[dict[int, float]]:
+    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[dict[int, float]]:
         """For each text the items that match and their best similarity."""
         found: list[dict[int, float]] = [{} for _ in range(len(offsets) - 1)]
         if not self.ids:
@@ -179,48 +171,76 @@ class Benchmark:
                 sharing = np.isin(rows[near, 2] * len(self.ids) + own[items], shared)
                 for k, item in zip(near[sharing], items[sharing], strict=True):
                     first, _, text = rows[k].tolist()
-                    got = self.similarity(w.hashes[first : first + size], int(own[item]), weights)
+                    got = self.similarity(w.hashes[first : first + size], int(own[item]))
                     if got >= LEAST - 1e-9:  # sums of weights may round an exact 0.75 down
                         name = self.ids[own[item]]
                         found[text][name] = max(got, found[text].get(name, 0.0))
         return found
 
 
-def _benchmarks(benchmark: DataFrame) -> tuple[list[Benchmark], Weights]:
-    """The benchmark by blocks of ITEMS items, read in order of item_id, and the weights over all of it."""
+def _weighed(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(item_id, text, block, held: the counts of its shingles that several items hold) of all items; the number of items with words."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    rows = [(r.item_id, r.text) for r in items.orderBy("item_id", "text").toLocalIterator()]
-    return [Benchmark(rows[i : i + ITEMS]) for i in range(0, len(rows), ITEMS)], Weights(rows)
+    items = items.withColumn("__item", row_key(F.col("item_id"), F.col("text"), F.monotonically_increasing_id()))
+
+    def split(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in batches(rows):
+            w = words(data, offsets)
+            sets = [np.unique(shingles(w.hashes[a:b], min(SHINGLE, b - a))).view(np.int64) if b > a else np.zeros(0, np.int64) for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("item_id"), part.column("text"), part.column("__item"), pa.array(sets, pa.list_(pa.int64()))], names=["item_id", "text", "__item", "sets"])
+
+    sets = materialize(items.mapInArrow(split, "item_id long, text string, __item long, sets array<long>").where("size(sets) > 0"), "items")
+    total = sets.count()
+    rows = sets.select("__item", F.explode("sets").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    held = rows.join(shared, "shingle").groupBy("__item").agg(F.collect_list(F.struct("shingle", "n")).alias("held"))  # of one item
+    block = F.pmod(F.xxhash64("__item"), F.lit(max(1, -(-total // ITEMS)))).cast("int")
+    return materialize(sets.join(held, "__item", "left").select("item_id", "text", block.alias("block"), "held"), "items"), total
+
+
+def _benchmarks(benchmark: DataFrame) -> Iterator[tuple[Benchmark, bool]]:
+    """The benchmark's blocks of about ITEMS items, one after the other, and whether it is the last."""
+    items, total = _weighed(benchmark)
+    n = max(1, -(-total // ITEMS))
+    for block in range(n):
+        rows = items.where(F.col("block") == block).collect()
+        yield Benchmark([(r.item_id, r.text) for r in rows], {x.shingle: x.n for r in rows for x in r.held or ()}, total), block == n - 1
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, items (sorted item_ids that match), similarity (the best; 0 without) of each document."""
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks, weights = _benchmarks(benchmark)
-    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks]
-    weights = docs.sparkSession.sparkContext.broadcast(weights)
+    now = flat.select("*", F.lit(None).cast("array<long>").alias("items"), F.lit(0.0).alias("similarity"))
+    for block, last in _benchmarks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in batches(rows):
-            found = [reduce(lambda a, b: a | b, x, {}) for x in zip(*[s.value.search(data, offsets, weights.value) for s in shared], strict=True)] or [{}] * part.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([bool(x) for x in found]), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in found], pa.float64())],
-                names=["doc_id", "contaminated", "items", "similarity"],
-            )
+        def run(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for part, data, offsets in batches(rows):
+                found = shared.value.search(data, offsets)
+                items = [sorted({*(old or ()), *new}) for old, new in zip(part.column("items").to_pylist(), found, strict=True)]
+                best = [max([old, *new.values()]) for old, new in zip(part.column("similarity").to_pylist(), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=["doc_id", "text", "items", "similarity"])
 
-    return flat.mapInArrow(run, "doc_id long, contaminated boolean, items array<long>, similarity double")
+        now = now.mapInArrow(run, "doc_id long, text string, items array<long>, similarity double")
+        if not last:  # a pass over all documents for each block
+            now = materialize(now, "searched")
+            shared.unpersist()
+    return now.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "similarity")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that match no item."""
-    flat = docs.select(*DOC_COLUMNS)
-    blocks, weights = _benchmarks(benchmark)
-    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks]
-    weights = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in batches(rows):
-            bad = [any(x) for x in zip(*[s.value.search(data, offsets, weights.value) for s in shared], strict=True)] or [False] * part.num_rows
-            yield part.filter(pa.array([not x for x in bad]))
-
-    return flat.mapInArrow(run, flat.schema)
+    now = docs.select(*DOC_COLUMNS)
+    schema = now.schema
+    for block, last in _benchmarks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for part, data, offsets in batches(rows):
+                yield part.filter(pa.array([not x for x in shared.value.search(data, offsets)], pa.bool_()))
+
+        now = now.mapInArrow(run, schema)
+        if not last:
+            now = materialize(now, "searched")
+            shared.unpersist()
+    return now

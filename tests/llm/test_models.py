@@ -73,6 +73,40 @@ def test_quality_edges(spark):
     assert quality.score_quality(docs.limit(0), labels).count() == 0
 
 
+def test_votes_against_brute_force():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 3, (60, quality.TERMS)).astype(np.float32)
+    counts[10:40] = counts[10]  # thirty ties
+    labels = rng.integers(0, 2, 60).astype(float)
+    voters = quality.Voters(counts, labels, (counts > 0).sum(0), 60)
+    got = voters.score(counts[:20])
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    for i in range(20):
+        v = unit((unit(counts[i] * voters.idf) - voters.centre) @ voters.axes)
+        near = np.round((v[None].astype(np.float32) @ voters.vectors.T)[0], 5)
+        first = sorted(range(60), key=lambda j: (-near[j], j))[: quality.K]
+        w = np.array([max(near[j], 1e-6) ** 4 for j in first])
+        assert abs(got[i] - (w * labels[first]).sum() / w.sum()) < 1e-3
+    tied = quality.nearest(np.array([[0.5] * 8 + [0.9, 0.1]]), 4)
+    assert tied.tolist() == [[True, True, True, False, False, False, False, False, True, False]]
+    top = quality.top_axes(counts - counts.mean(0), 5)
+    exact = np.linalg.svd(counts - counts.mean(0), full_matrices=False)[2][:5]
+    assert np.abs(np.linalg.svd(top.T @ exact.T)[1] - 1).max() < 1e-3
+
+
+def test_mixture_against_plain_em():
+    rng = np.random.default_rng(4)
+    like = rng.random((40, 3)) + 0.05
+    starts, owner = np.array([0, 15]), np.repeat([0, 1], [15, 25])
+    got, ll = language_id._fit(like, starts, owner, np.ones((2, 3)))
+    for k, rows in enumerate((like[:15], like[15:])):
+        share = np.full(3, 1 / 3)
+        for _ in range(language_id.ROUNDS):
+            share = np.mean([share * x / (share * x).sum() for x in rows], axis=0)
+        assert np.allclose(got[k], share)
+        assert np.isclose(ll[k], np.log(rows @ share).sum())
+
+
 def brute_items(text, items):
     """Items that some window of their size matches by weighted shingles."""
     held = {}
@@ -85,13 +119,15 @@ def brute_items(text, items):
         n = len(words_of(x))
         for k in range(max(1, len(w) - n + 1) if w else 0):
             a, b = shingle_set(" ".join(w[k : k + n])), shingle_set(x)
-            if a and b and weight(a & b) >= (0.75 - 1e-9) * weight(a | b):
+            if a and b and weight(a & b) >= (0.75 - 1e-9) * (weight(b) + np.log1p(len(items)) * len(a - b)):
                 out.append(i)
                 break
     return sorted(out)
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("block", [20_000, 7])
+def test_decontamination(spark, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "ITEMS", block)
     rng = random.Random(8)
     vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(500)]
     make = lambda k: " ".join(rng.choices(vocabulary, k=k))

@@ -88,3 +88,10 @@ def local_moran_p(values: DataFrame, weights: DataFrame, reps: int = 999) -> Dat
     lags = drawn.join(number.select("i", F.col("z").alias("zn")), "i").groupBy("hex_id", "rep").agg(F.sum(F.col("w") * F.col("zn")).alias("lag"))
     hits = lags.join(local.select("hex_id", "z", "local"), "hex_id").groupBy("hex_id").agg(F.count_if(F.round(F.abs(F.col("z") * F.col("lag")), 9) >= F.round(F.abs("local"), 9)).alias("extreme"))
     return local.select("hex_id").join(hits, "hex_id", "left").select("hex_id", ((F.coalesce("extreme", F.lit(reps)) + 1) / (reps + 1)).alias("p"))
+
+
+def correlation_importance(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
+    """feature, importance, place: the absolute correlation of each feature with the target, in one pass."""
+    rows = df.agg(*[F.corr(F.col(target).cast("double"), F.col(f).cast("double")).alias(f) for f in features])
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(f).alias("importance")) for f in features])).alias("x")).select("x.*")
+    return long.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("importance", 9)), "feature")).cast("long"))  # one row a feature

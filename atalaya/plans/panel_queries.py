@@ -243,7 +243,7 @@ def f14_one_every(spark: SparkSession, d: str) -> DataFrame:
     return rounded(x.select("tipo", "n", unit.alias("unit"), every.alias("every")))
 
 
-@query("j20_fuzzy_names")
+@query("j20_fuzzy_names", "SELECT w.p_type AS wanted, min(n.name) AS name FROM (SELECT DISTINCT p_type FROM part) w JOIN (SELECT DISTINCT p_brand || ' ' || p_type AS name FROM part) n ON list_contains(string_split(upper(replace(n.name, '#', ' ')), ' '), upper(w.p_type)) GROUP BY 1")
 def j20_fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
     """Each part type with the brand-and-type names that hold all its tokens; the smallest name wins. Joined on a token."""
     parts = b.table(spark, d, "part")

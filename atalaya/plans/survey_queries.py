@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import bindings as b
+from ..functions import scalars
 from ..functions.scalars import as_list, capacity, crown_radius, single_date, slug
 from ..operators import allocation, export, forecast, grid, metrics, spatial, statistics
 from ..operators.tables import scratch
@@ -536,3 +537,61 @@ def o13_plan_names(spark: SparkSession, d: str) -> DataFrame:
     """The file of each plan, by shift and size."""
     k = b.cells(spark, d).select(F.col("comuna_id").cast("int").alias("k")).where("k > 0").distinct()
     return k.withColumn("turno", F.explode(F.array(F.lit("tarde"), F.lit("noche")))).select("turno", "k", F.concat(F.lit("plan_"), "turno", F.lit("_k"), F.col("k").cast("string"), F.lit(".json")).alias("file"))
+
+
+# --- parsing of single values -----------------------------------------------------------------------------------------
+
+
+@query("f03_line_number", "SELECT s_suppkey AS id, CAST(regexp_extract(s_name, '([0-9]+)', 1) AS BIGINT) AS line FROM supplier")
+def f03_line_number(spark: SparkSession, d: str) -> DataFrame:
+    return b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), scalars.number_in(F.col("s_name")).alias("line"))
+
+
+@query("f04_thousands", "SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey * 1234.5e0 END AS value FROM customer")
+def f04_thousands(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers written with dots for thousands and a comma for decimals; other text gives null."""
+    k = F.col("c_custkey")
+    text = F.when(k % 7 == 0, "s/d").otherwise(scalars.regional_number(k * 1234.5, 1))
+    return b.table(spark, d, "customer").select(k.alias("id"), scalars.thousands(text).alias("value"))
+
+
+@query("f05_wkt_point", "SELECT poi_id AS id, CAST(x AS DOUBLE) AS x, CAST(-y AS DOUBLE) AS y FROM pois")
+def f05_wkt_point(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d)
+    x, y = scalars.wkt_point(F.concat(F.lit("POINT ("), F.col("x").cast("decimal(20,1)").cast("string"), F.lit(" "), (-F.col("y")).cast("decimal(20,1)").cast("string"), F.lit(")")))
+    return p.select(F.col("poi_id").alias("id"), x.alias("x"), y.alias("y"))
+
+
+@query("f06_day_first", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 24 END AS INT)) END AS ts FROM orders")
+def f06_day_first(spark: SparkSession, d: str) -> DataFrame:
+    """Timestamps written day first, with or without a time; other text gives null."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "d/M/yyyy")
+    hour = (k % 24).cast("int")
+    text = F.when(k % 5 == 0, "sin dato").when(k % 3 == 0, day).when(k % 3 == 1, F.concat(day, F.format_string(" %d:00", hour))).otherwise(F.concat(day, F.format_string(" %d:00:00", hour)))
+    return b.table(spark, d, "orders").select(k.alias("id"), scalars.day_first(text).alias("ts"))
+
+
+@query("f07_period_date", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 31 + 1 <= day(last_day(CAST(o_orderdate AS DATE))) THEN CAST(date_trunc('month', o_orderdate) AS DATE) + CAST(o_orderkey % 31 AS INT) END AS fecha FROM orders")
+def f07_period_date(spark: SparkSession, d: str) -> DataFrame:
+    """Dates of a yyyyMM period and a day's number; null where the month has no such day."""
+    x = b.table(spark, d, "orders")
+    return x.select(F.col("o_orderkey").alias("id"), scalars.period_date(F.date_format("o_orderdate", "yyyyMM"), (F.col("o_orderkey") % 31 + 1)).alias("fecha"))
+
+
+@query("a22_equity_summary", _TODAY + ", s AS (SELECT comuna_id, sum(CASE WHEN plan THEN n ELSE 0 END) * 1e0 / sum(n) AS coverage FROM held GROUP BY 1) SELECT (SELECT comuna_id FROM s ORDER BY round(coverage, 9), comuna_id LIMIT 1) AS worst, (SELECT comuna_id FROM s ORDER BY round(coverage, 9) DESC, comuna_id LIMIT 1) AS best, round(max(coverage) - min(coverage), 6) AS gap, round(median(coverage), 6) AS median, sum(CASE WHEN coverage < 0.1 THEN 1 ELSE 0 END) AS below FROM s")
+def a22_equity_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Of the fourteen busiest sites' coverage by district: the worst, the best, the gap, the median, and how many have under a tenth."""
+    w = b.incidents(spark, d).groupBy("hex_id").agg(F.count("*").alias("weight"))
+    cov = reach(spark, d).select(F.col("source").alias("candidate"), F.col("node").alias("demand"))
+    dem = b.cells(spark, d).drop("weight").join(w, "hex_id").select(F.col("hex_id").alias("demand"), "weight", "comuna_id")
+    plan = w.orderBy(F.desc("weight"), "hex_id").limit(14).select(F.col("hex_id").alias("candidate"))
+    return rounded(allocation.equity_summary(allocation.coverage_by_group(plan, cov, dem, "comuna_id"), "comuna_id"))
+
+
+@query("l06_importance", """, x AS (SELECT c.hex_id, coalesce(n, 0) AS y, weight AS a, comuna_id * 1e0 AS b, q * 1e0 AS c FROM cells c LEFT JOIN (SELECT hex_id, count(*) AS n FROM incidents WHERE year(fecha) = 2000 GROUP BY 1) i ON i.hex_id = c.hex_id)
+SELECT f.feature, round(abs(f.r), 6) AS importance, row_number() OVER (ORDER BY round(abs(f.r), 9) DESC, f.feature) AS place FROM (SELECT 'weight' AS feature, corr(y, a) AS r FROM x UNION ALL SELECT 'comuna', corr(y, b) FROM x UNION ALL SELECT 'q', corr(y, c) FROM x) f""")
+def l06_importance(spark: SparkSession, d: str) -> DataFrame:
+    """Features by the strength of their correlation with next year's count, the model-free measure of importance."""
+    n = b.incidents(spark, d).where("year(fecha) = 2000").groupBy("hex_id").agg(F.count("*").alias("n"))
+    x = b.cells(spark, d).join(n, "hex_id", "left").select(F.coalesce("n", F.lit(0)).alias("y"), F.col("weight").alias("weight"), F.col("comuna_id").alias("comuna"), "q")
+    return rounded(statistics.correlation_importance(x, "y", ["weight", "comuna", "q"]))

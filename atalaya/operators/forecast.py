@@ -73,15 +73,15 @@ def regime_regression(months: np.ndarray, y: np.ndarray, steps: int, regimes: Se
 def backtest_models(series: DataFrame, key: str, origins: int, regimes: Sequence[tuple[int, int | None]] = ()) -> DataFrame:
     """key, origin, model, h, real, pred: each series and origin is a group of its own (a few hundred months)."""
     last = Window.partitionBy(key).orderBy(F.desc("ds"))
-    ends = series.select(key, F.col("ds").alias("origin"), F.row_number().over(last).alias("back")).where(F.col("back").between(2, origins + 1)).drop("back")
+    known = F.row_number().over(Window.partitionBy(key).orderBy("ds"))
+    ends = series.select(key, F.col("ds").alias("origin"), F.row_number().over(last).alias("back"), known.alias("known"))
+    ends = ends.where(F.col("back").between(2, origins + 1) & (F.col("known") >= MIN_HISTORY)).select(key, "origin")
     every = ends.join(series, key)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
         origin = pdf["origin"].iloc[0]
         past, after = pdf[pdf["ds"] <= origin], pdf[pdf["ds"] > origin].head(HORIZON)
-        if len(past) < MIN_HISTORY or after.empty:
-            return pd.DataFrame({key: [], "origin": [], "model": [], "h": [], "real": [], "pred": []})
         months = np.array([d.year * 12 + d.month for d in pd.to_datetime(past["ds"])], float)
         y = past["y"].to_numpy(float)
         parts = []

@@ -279,3 +279,11 @@ def test_scalars_of_the_last_rows(spark):
     assert [list(r[0]) for r in df.select(scalars.as_list(F.col("t"))).collect()] == [["a", "b"], ["c"], []]
     one = spark.range(1).select(scalars.slug(F.lit("Línea  Ñandú 4")), scalars.capacity(F.lit("hasta 12.500 o más")), scalars.capacity(F.lit("sin")), scalars.crown_radius(F.lit(0.0), F.lit(10.0)))
     assert one.first()[:] == ("linea_nandu_4", 12500.0, None, 2.2)
+
+
+def test_backtest_skips_short_histories(spark):
+    series = spark.sql("SELECT 'a' AS tipo, add_months(date'2015-01-01', CAST(i AS INT)) AS ds, CAST(50 + i % 12 AS DOUBLE) AS y FROM range(48) t(i)")
+    got = forecast.backtest_models(series, "tipo", 84).collect()
+    assert len({r.origin for r in got}) == 12
+    assert {r.model for r in got} == {"holt_winters", "regime"}
+    assert forecast.backtest_models(series.where("ds < '2017-01-01'"), "tipo", 84).count() == 0

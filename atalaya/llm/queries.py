@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, line_dedup, near_dedup, pii, quality, secrets, telephony, url_filters
+from . import bpe, centroid_clusters, decontamination, hard_negatives, language_id, line_dedup, near_dedup, nearest_neighbours, pii, quality, secrets, telephony, url_filters
 
 
 
@@ -64,6 +65,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_ALL = (op1_secret_scans, op2_line_dedup, op3_pii, op4_language_id, op5_near_dedup, op6_quality_classifier, op7_bpe, op8_media_columns, op9_url_filters, op10_decontamination)
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", shifted))
+
+
+_ALL = (op1_secret_scans, op2_line_dedup, op3_pii, op4_language_id, op5_near_dedup, op6_quality_classifier, op7_bpe, op8_media_columns, op9_url_filters, op10_decontamination, op11_nearest_neighbours, op12_centroid_clusters, op13_hard_negatives)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op9_url_filters": url_filters.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op9_url_filters": url_filters.ORACLE_SQL, "op12_centroid_clusters": centroid_clusters.oracle_sql(), "op13_hard_negatives": hard_negatives.ORACLE_SQL}

@@ -165,24 +165,6 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return reach(spark, d).select(F.col("source").alias("candidate"), F.col("node").alias("demand")).cache()
 
 
-@query("o01_patrol_plan")
-def o01_patrol_plan(spark: SparkSession, d: str) -> DataFrame:
-    return allocation.greedy_cover(coverage(spark, d), demand(spark, d), 12, floor="comuna_id")
-
-
-@query("o03_k_sweep")
-def o03_k_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage for each K from one greedy order; infeasible while groups that can be reached have nothing."""
-    plan = allocation.greedy_cover(coverage(spark, d), demand(spark, d), 110, floor="comuna_id")
-    return plan.select(F.col("step").alias("k"), "covered", F.when(F.col("floor") & (F.lead("floor").over(Window.orderBy("step")) | F.lead("floor").over(Window.orderBy("step")).isNull()), "infeasible").otherwise("feasible").alias("estado"))
-
-
-@query("o05_equity")
-def o05_equity(spark: SparkSession, d: str) -> DataFrame:
-    cov, dem = coverage(spark, d), demand(spark, d)
-    return rounded(allocation.equity_summary(allocation.coverage_by_group(allocation.greedy_cover(cov, dem, 6), cov, dem, "comuna_id"), "comuna_id"))
-
-
 @query("a21_coverage_today", _REACH + ", w AS (SELECT hex_id, count(*) AS n FROM incidents GROUP BY 1), plan AS (SELECT hex_id FROM cells WHERE hex_id % 7 = 0) SELECT c.comuna_id, round(sum(CASE WHEN c.hex_id IN (SELECT node FROM reach WHERE source IN (SELECT hex_id FROM plan)) THEN n ELSE 0 END) * 1e0 / sum(n), 6) AS coverage FROM cells c JOIN w ON w.hex_id = c.hex_id GROUP BY c.comuna_id")
 def a21_coverage_today(spark: SparkSession, d: str) -> DataFrame:
     w = b.incidents(spark, d).groupBy("hex_id").agg(F.count("*").alias("weight"))

@@ -452,9 +452,9 @@ def c10_plan_vs_today(spark: SparkSession, d: str) -> DataFrame:
 _SITES = ", sites AS (SELECT hex_id AS candidate, row_number() OVER (ORDER BY weight DESC, hex_id) AS place FROM cells)"
 
 
-@query("o04_radius_sweep", _REACH + _SITES + """, radii(radius) AS (VALUES (300e0), (400e0), (500e0), (600e0), (700e0), (750e0), (800e0)), f AS (SELECT radius, node, min(place) AS place FROM reach JOIN sites ON candidate = source, radii WHERE dist <= radius GROUP BY 1, 2)
+@query("o04_ranked_coverage", _REACH + _SITES + """, radii(radius) AS (VALUES (300e0), (400e0), (500e0), (600e0), (700e0), (750e0), (800e0)), f AS (SELECT radius, node, min(place) AS place FROM reach JOIN sites ON candidate = source, radii WHERE dist <= radius GROUP BY 1, 2)
 SELECT radius, CAST(k AS INT) AS k, round(sum(CASE WHEN place <= k THEN c.weight ELSE 0 END) / (SELECT sum(weight) FROM cells), 6) AS covered FROM f JOIN cells c ON c.hex_id = node, (SELECT unnest([5, 10, 15, 20, 30, 40, 50, 60, 75, 110]) AS k) ks GROUP BY 1, 2""")
-def o04_radius_sweep(spark: SparkSession, d: str) -> DataFrame:
+def o04_ranked_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Seven radii by ten plan sizes of one ranking of sites, from one reach table at the largest radius."""
     cells = b.cells(spark, d)
     ranking = cells.select(F.col("hex_id").alias("candidate"), F.row_number().over(Window.orderBy(F.desc("weight"), "hex_id")).alias("place"))
@@ -463,8 +463,8 @@ def o04_radius_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rounded(allocation.ranked_coverage(ranking, near, dem, (300.0, 400.0, 500.0, 600.0, 700.0, 750.0, 800.0), (5, 10, 15, 20, 30, 40, 50, 60, 75, 110)))
 
 
-@query("o12_resources", _REACH + _SITES + ", f AS (SELECT node, min(place) AS place FROM reach JOIN sites ON candidate = source WHERE dist <= 800 GROUP BY 1) SELECT round(sum(CASE WHEN place <= 10 THEN weight ELSE 0 END) / sum(weight), 6) AS base, round(sum(CASE WHEN place <= 16 THEN weight ELSE 0 END) / sum(weight), 6) AS scenario, round(sum(CASE WHEN place BETWEEN 11 AND 16 THEN weight ELSE 0 END) / sum(weight), 6) AS gain FROM cells c LEFT JOIN f ON f.node = c.hex_id")
-def o12_resources(spark: SparkSession, d: str) -> DataFrame:
+@query("o12_ranked_gain", _REACH + _SITES + ", f AS (SELECT node, min(place) AS place FROM reach JOIN sites ON candidate = source WHERE dist <= 800 GROUP BY 1) SELECT round(sum(CASE WHEN place <= 10 THEN weight ELSE 0 END) / sum(weight), 6) AS base, round(sum(CASE WHEN place <= 16 THEN weight ELSE 0 END) / sum(weight), 6) AS scenario, round(sum(CASE WHEN place BETWEEN 11 AND 16 THEN weight ELSE 0 END) / sum(weight), 6) AS gain FROM cells c LEFT JOIN f ON f.node = c.hex_id")
+def o12_ranked_gain(spark: SparkSession, d: str) -> DataFrame:
     """What six more sites add to ten."""
     cells = b.cells(spark, d)
     ranking = cells.select(F.col("hex_id").alias("candidate"), F.row_number().over(Window.orderBy(F.desc("weight"), "hex_id")).alias("place"))
@@ -486,8 +486,8 @@ def o11_conditions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(both.withColumn("delta", F.col("scenario") - F.col("base")))
 
 
-@query("o06_retention", _PLANS + ", risk AS (SELECT tipo AS surface, hex_id AS candidate, count(*) AS risk FROM incidents WHERE year(fecha) = 2000 GROUP BY 1, 2), h AS (SELECT plan, surface, sum(risk) AS held FROM plans JOIN risk ON risk.candidate = plans.candidate GROUP BY 1, 2) SELECT h.plan, h.surface, round(h.held * 1e0 / o.held, 6) AS retained FROM h JOIN h o ON o.surface = h.surface AND o.plan = o.surface")
-def o06_retention(spark: SparkSession, d: str) -> DataFrame:
+@query("o06_busiest_retention", _PLANS + ", risk AS (SELECT tipo AS surface, hex_id AS candidate, count(*) AS risk FROM incidents WHERE year(fecha) = 2000 GROUP BY 1, 2), h AS (SELECT plan, surface, sum(risk) AS held FROM plans JOIN risk ON risk.candidate = plans.candidate GROUP BY 1, 2) SELECT h.plan, h.surface, round(h.held * 1e0 / o.held, 6) AS retained FROM h JOIN h o ON o.surface = h.surface AND o.plan = o.surface")
+def o06_busiest_retention(spark: SparkSession, d: str) -> DataFrame:
     """What the plan for each type keeps of the risk of every other."""
     n = b.incidents(spark, d).where(F.year("fecha") == 2000).groupBy(F.col("tipo").alias("surface"), F.col("hex_id").alias("candidate")).agg(F.count("*").alias("risk"))
     top = n.withColumn("rn", F.row_number().over(Window.partitionBy("surface").orderBy(F.desc("risk"), "candidate"))).where("rn <= 10").select(F.col("surface").alias("plan"), "candidate")

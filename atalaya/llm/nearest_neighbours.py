@@ -5,7 +5,8 @@ vectors get one more component that brings all to the norm of the longest, so th
 query keeps the branches not taken in a priority queue and visits leaf after leaf from the nearest branch. How many leaves it
 visits is calibrated: CALIBRATION queries are answered exactly over all rows, and visits widen until the leaves seen hold
 TARGET of their neighbours (all leaves, if need be). Leaves are packed into bins of bounded size, a leaf that is too large for
-one is split, and queries are sent once to each bin that has a leaf for them.
+one is split, and queries are sent once to each bin that has a leaf for them. The sample's own k-th score in the visited leaves goes
+with a query as its floor: k rows at least are found at or above it, so bins send nothing below.
 
 Defined results: vectors null, empty, zero, with a null or non-finite component, or not of the usual length take no part, nor
 do rows without vec_id; rows that share a vec_id count as one, with the least vector; ties go to the smaller vec_id, and equal
@@ -101,15 +102,14 @@ def distances(tree: Tree, queries: np.ndarray) -> list[list[float]]:
     return ((tree.centres**2).sum(1) - 2 * queries @ tree.centres[:, :-1].T).tolist()
 
 
-def best(ids: np.ndarray, x: np.ndarray, row: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and scores of the k best rows with finite entries in row; products are summed anew, row by row, so that equal vectors tie."""
-    n = min(k, int(np.isfinite(row).sum()))
-    if not n:
-        return ids[:0], row[:0]
+def best(ids: np.ndarray, x: np.ndarray, row: np.ndarray, query: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """ids and scores of the k best rows with entries from floor up; products are summed anew, row by row, so that equal vectors tie."""
     slack = 1e-12 * float(np.sqrt((query**2).sum() * (x**2).sum(1).max()))
-    near = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n] - slack)
+    near = np.flatnonzero(np.isfinite(row) & (row >= floor - slack))
+    if len(near) > k:
+        near = near[row[near] >= np.partition(row[near], len(near) - k)[len(near) - k] - slack]
     exact = (x[near] * query).sum(1)
-    order = np.lexsort((ids[near], -exact))[:n]
+    order = np.lexsort((ids[near], -exact))[:k]
     return ids[near][order], exact[order]
 
 
@@ -162,24 +162,28 @@ def nearest(embeddings: DataFrame, k: int = K, asks: Column | None = None, *, co
         sizes[leaf] = count
     width = calibrated(rows, tree, k, asks, target)
     first, blocks = pack(sizes)
+    drawn_leaf = leaf_of(tree, lifted(drawn, norm2))
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"bin": [], "row": [], "units": []}
-            for i, away in enumerate(distances(tree, matrix(batch["v"]))):
+            out: dict[str, list] = {"bin": [], "row": [], "units": [], "floor": []}
+            q = matrix(batch["v"])
+            for i, away in enumerate(distances(tree, q)):
                 chosen, seen = [], 0
                 for n, leaf in enumerate(visits(tree, away)):
                     if n >= width and seen > k:  # enough leaves, and enough rows besides its own
                         break
                     chosen.append(leaf)
                     seen += sizes[leaf]
+                own = drawn[np.isin(drawn_leaf, chosen)] @ q[i]
+                floor = float(np.partition(own, len(own) - k - 1)[len(own) - k - 1]) if len(own) > k else -np.inf  # one more than k: it may be in the sample
                 for at, units in by_bin(chosen, first, blocks).items():
-                    out["bin"].append(at), out["row"].append(i), out["units"].append(units)
+                    out["bin"].append(at), out["row"].append(i), out["units"].append(units), out["floor"].append(floor)
             sent = batch.take(pa.array(out["row"], pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(out["bin"], pa.int32()), sent["vec_id"], sent["v"], pa.array(out["units"], pa.list_(pa.int32()))], ["bin", "query_id", "v", "units"])
+            yield pa.RecordBatch.from_arrays([pa.array(out["bin"], pa.int32()), sent["vec_id"], sent["v"], pa.array(out["units"], pa.list_(pa.int32())), pa.array(out["floor"], pa.float64())], ["bin", "query_id", "v", "units", "floor"])
 
     kind = dict(rows.dtypes)["v"]
-    sent = materialize(rows.where(asks).select("vec_id", "v").mapInArrow(send, f"bin int, query_id long, v {kind}, units array<int>"), "visits")
+    sent = materialize(rows.where(asks).select("vec_id", "v").mapInArrow(send, f"bin int, query_id long, v {kind}, units array<int>, floor double"), "visits")
 
     def match(_: tuple, bin_rows: pa.Table, asked: pa.Table) -> pa.Table:
         bin_rows = bin_rows.sort_by([("unit", "ascending"), ("vec_id", "ascending")])
@@ -187,10 +191,10 @@ def nearest(embeddings: DataFrame, k: int = K, asks: Column | None = None, *, co
         parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for at in range(0, len(asked), 512):
             block = asked.slice(at, 512).combine_chunks()
-            q, own = matrix(block["v"]), block["query_id"].to_numpy()
+            q, own, floor = matrix(block["v"]), block["query_id"].to_numpy(), block["floor"].to_numpy()
             for i, row in enumerate(scores(x, unit, q, block["units"].combine_chunks())):
                 row[ids == own[i]] = -np.inf
-                vec_id, score = best(ids, x, row, q[i], k)
+                vec_id, score = best(ids, x, row, q[i], k, floor[i])
                 parts.append((np.full(len(vec_id), own[i]), vec_id, score))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .tables import cut
 
 
-def reachable(sources: DataFrame, edges: DataFrame, cutoff: float, directed: bool = True, rounds: int = 100) -> DataFrame:
+def reachable(sources: DataFrame, edges: DataFrame, cutoff: float, directed: bool = True) -> DataFrame:
     """(source, node, dist): nodes within cutoff of each source (column source) along edges (u, v, length_m).
 
     Frontier relaxation: each round joins the nodes that got nearer with the edges and keeps the least distance; it ends
@@ -19,7 +19,7 @@ def reachable(sources: DataFrame, edges: DataFrame, cutoff: float, directed: boo
     steps = edges.groupBy("u", "v").agg(F.min("length_m").alias("length_m"))
     best = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist")).distinct()
     frontier = best
-    for _ in range(rounds):
+    while True:
         tried = frontier.join(steps, frontier.node == steps.u).select("source", F.col("v").alias("node"), (F.col("dist") + F.col("length_m")).alias("dist"))
         tried = tried.where(F.col("dist") <= cutoff).groupBy("source", "node").agg(F.min("dist").alias("dist"))
         old = best.select("source", "node", F.col("dist").alias("old"))

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SHIFTS, week_start
-from .tables import cut
 
 #: Fixed values of each grain: lags and rolling windows in periods, and the rolling sum that neighbours share.
 GRAINS = {"day": ((7, 30, 365), (7, 30), 30), "week": ((1, 4, 52), (4, 12), 4)}
@@ -39,23 +38,23 @@ def dense_panel(cells: DataFrame, counts: DataFrame, first: str, last: str, grai
     return dense_grid(cells, first, last, grain).join(counts, ["hex_id", "period", "turno"], "left").fillna(0, ["y"])
 
 
+def neighbour_counts(panel: DataFrame, counts: DataFrame, ring: DataFrame) -> DataFrame:
+    """panel with n1 and n2: what was counted (counts: hex_id, period, turno, y; only where it is not 0) in rings 1 and 2."""
+    near = counts.select(F.col("hex_id").alias("nbr"), "period", "turno", "y").join(ring, "nbr")
+    near = near.groupBy("hex_id", "period", "turno").agg(*[F.sum(F.when(F.col("k") == k, F.col("y"))).alias(f"n{k}") for k in (1, 2)])
+    return panel.join(near, ["hex_id", "period", "turno"], "left").fillna(0, ["n1", "n2"])
+
+
 def lag_features(panel: DataFrame, grain: str = "day", by: Sequence[str] = ("hex_id", "turno")) -> DataFrame:
-    """lag_n and roll_n columns over the dense panel; one exchange serves all of them."""
-    lags, rolls, _ = GRAINS[grain]
+    """lag_n and roll_n columns over the dense panel, and nbr1 and nbr2 if it has n1 and n2; one exchange serves all of them.
+
+    nbr1 and nbr2 are the sums of the neighbours' own rolling sums. A rolling sum is linear, so the neighbours' counts are
+    added up first and rolled once; null in the first period, else 0 or more.
+    """
+    lags, rolls, shared = GRAINS[grain]
     w = Window.partitionBy(*by).orderBy("period")
-    return panel.select("*", *[F.lag("y", n).over(w).alias(f"lag_{n}") for n in lags], *[F.sum("y").over(w.rowsBetween(-n, -1)).alias(f"roll_{n}") for n in rolls])
-
-
-def neighbour_features(featured: DataFrame, ring: DataFrame, grain: str = "day") -> DataFrame:
-    """nbr1 and nbr2: sums of the neighbours' own rolling sums at rings 1 and 2; null in the first period, else 0 or more."""
-    roll, featured = f"roll_{GRAINS[grain][2]}", cut(featured)  # read three times
-    sums = featured.where(F.col(roll) != 0).select(F.col("hex_id").alias("nbr"), "period", "turno", F.col(roll).alias("v")).join(ring, "nbr")
-    sums = sums.groupBy("hex_id", "period", "turno").agg(*[F.sum(F.when(F.col("k") == k, F.col("v"))).alias(f"nbr{k}") for k in (1, 2)])
-    first = featured.agg(F.min("period").alias("first"))
-    out = featured.join(sums, ["hex_id", "period", "turno"], "left").join(F.broadcast(first), how="cross")  # one row
-    for k in (1, 2):
-        out = out.withColumn(f"nbr{k}", F.when(F.col("period") > F.col("first"), F.coalesce(f"nbr{k}", F.lit(0))))
-    return out.drop("first")
+    near = [F.sum(f"n{k}").over(w.rowsBetween(-shared, -1)).alias(f"nbr{k}") for k in (1, 2) if f"n{k}" in panel.columns]
+    return panel.select(*[c for c in panel.columns if c not in ("n1", "n2")], *[F.lag("y", n).over(w).alias(f"lag_{n}") for n in lags], *[F.sum("y").over(w.rowsBetween(-n, -1)).alias(f"roll_{n}") for n in rolls], *near)
 
 
 def calendar_features(panel: DataFrame, holidays: DataFrame, grain: str = "day") -> DataFrame:

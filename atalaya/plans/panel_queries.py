@@ -82,7 +82,7 @@ def a25_calibration(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.calibration(baseline_scores(spark, d)))
 
 
-_LORENZ = """, u AS (SELECT c.hex_id, coalesce(n, 0) AS n FROM cells c LEFT JOIN (SELECT hex_id, count(*) AS n FROM incidents_h WHERE hora < 4 GROUP BY 1) i ON i.hex_id = c.hex_id),
+_LORENZ = """, u AS (SELECT c.hex_id, coalesce(n, 0) AS n FROM cells c LEFT JOIN (SELECT hex_id, count(*) AS n FROM incidents_h GROUP BY 1) i ON i.hex_id = c.hex_id),
 o AS (SELECT n, row_number() OVER (ORDER BY n DESC, hex_id) AS i, sum(n) OVER (ORDER BY n DESC, hex_id ROWS UNBOUNDED PRECEDING) * 1e0 / sum(n) OVER () AS cum, count(*) OVER () AS m FROM u)
 SELECT any_value(m) AS n, round(avg(CASE WHEN n = 0 THEN 1e0 ELSE 0e0 END), 6) AS share_zero, round(min(CASE WHEN cum >= 0.25 - 1e-12 THEN i END) * 1e0 / any_value(m), 6) AS share_for_25, round(min(CASE WHEN cum >= 0.5 - 1e-12 THEN i END) * 1e0 / any_value(m), 6) AS share_for_50,
   round(max(CASE WHEN i = greatest(1, CAST(round_even(m * 0.01, 0) AS INT)) THEN cum END), 6) AS mass_top_1, round(max(CASE WHEN i = greatest(1, CAST(round_even(m * 0.05, 0) AS INT)) THEN cum END), 6) AS mass_top_5 FROM o"""
@@ -90,7 +90,7 @@ SELECT any_value(m) AS n, round(avg(CASE WHEN n = 0 THEN 1e0 ELSE 0e0 END), 6) A
 
 @query("a27_lorenz", _LORENZ)
 def a27_lorenz(spark: SparkSession, d: str) -> DataFrame:
-    n = b.incidents_h(spark, d).where("hora < 4").groupBy("hex_id").agg(F.count("*").alias("n"))
+    n = b.incidents_h(spark, d).groupBy("hex_id").agg(F.count("*").alias("n"))
     return rounded(metrics.lorenz(b.cells(spark, d).select("hex_id").join(n, "hex_id", "left").fillna(0), "n", "hex_id"))
 
 
@@ -111,26 +111,34 @@ sums AS (SELECT g.hex_id, f.period, f.turno, CAST(sum(CASE WHEN k = 1 THEN f.rol
 """
 
 
-def dense(spark: SparkSession, d: str, grain: str, tipo: str | None = None) -> DataFrame:
-    """The panel over all dates of the incidents."""
+def dense(spark: SparkSession, d: str, grain: str, tipo: str | None = None, near: bool = False) -> DataFrame:
+    """The panel over all dates of the incidents; near adds the neighbours' counts."""
     x = b.incidents(spark, d)
     first, last = x.agg(F.min("fecha"), F.max("fecha")).first()
-    return panel.dense_panel(b.cells(spark, d), panel.period_counts(x, grain, tipo), str(first), str(last), grain)
+    counts = panel.period_counts(x, grain, tipo)
+    out = panel.dense_panel(b.cells(spark, d), counts, str(first), str(last), grain)
+    return panel.neighbour_counts(out, counts, b.ring(spark, d)) if near else out
 
 
 _NEIGHBOURS = """SELECT f.*, CASE WHEN f.period > (SELECT min(period) FROM periods) THEN coalesce(s1, 0) END AS nbr1, CASE WHEN f.period > (SELECT min(period) FROM periods) THEN coalesce(s2, 0) END AS nbr2
 FROM featured f LEFT JOIN sums s ON s.hex_id = f.hex_id AND s.period = f.period AND s.turno = f.turno"""
 
 
-@query("w03_weekly_panel", _panel_sql("week") + _NEIGHBOURS)
+#: The neighbours' counts are added up before they are rolled; w01's SQL rolls them first.
+_LINEAR = """, near AS (SELECT g.hex_id, k.period, k.turno, sum(CASE WHEN g.k = 1 THEN n ELSE 0 END) AS n1, sum(CASE WHEN g.k = 2 THEN n ELSE 0 END) AS n2 FROM ring g JOIN counts k ON k.hex_id = g.nbr GROUP BY 1, 2, 3)
+SELECT f.*, CAST(sum(coalesce(n1, 0)) OVER r AS BIGINT) AS nbr1, CAST(sum(coalesce(n2, 0)) OVER r AS BIGINT) AS nbr2 FROM featured f LEFT JOIN near s ON s.hex_id = f.hex_id AND s.period = f.period AND s.turno = f.turno
+WINDOW r AS (PARTITION BY f.hex_id, f.turno ORDER BY f.period ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)"""
+
+
+@query("w03_weekly_panel", _panel_sql("week") + _LINEAR)
 def w03_weekly_panel(spark: SparkSession, d: str) -> DataFrame:
-    return panel.neighbour_features(panel.lag_features(dense(spark, d, "week"), "week"), b.ring(spark, d), "week")
+    return panel.lag_features(dense(spark, d, "week", near=True), "week")
 
 
 @query("w01_daily_panel", _panel_sql("day") + ", whole AS (" + _NEIGHBOURS + ") SELECT hex_id, turno, count(*) AS rows_n, sum(y) AS y, sum(lag_7) AS lag_7, sum(lag_30) AS lag_30, sum(lag_365) AS lag_365, sum(roll_7) AS roll_7, sum(roll_30) AS roll_30, sum(nbr1) AS nbr1, sum(nbr2) AS nbr2 FROM whole GROUP BY 1, 2")
 def w01_daily_panel(spark: SparkSession, d: str) -> DataFrame:
     """Column sums of the daily panel (its rows are checked at the weekly grain)."""
-    x = panel.neighbour_features(panel.lag_features(dense(spark, d, "day"), "day"), b.ring(spark, d), "day")
+    x = panel.lag_features(dense(spark, d, "day", near=True), "day")
     return x.groupBy("hex_id", "turno").agg(F.count("*").alias("rows_n"), *[F.sum(c).alias(c) for c in ("y", "lag_7", "lag_30", "lag_365", "roll_7", "roll_30", "nbr1", "nbr2")])
 
 
@@ -172,11 +180,20 @@ def e05_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "e06_conformal",
-    _panel_sql("week") + _INTERVALS + ", o AS (SELECT turno, score, row_number() OVER (PARTITION BY turno ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY turno) AS n FROM test) SELECT turno, n, round(score, 6) AS q FROM o WHERE i = CAST(ceil(round((n - 1) * least(1e0, ceil(round((n + 1) * 0.8e0, 9)) / n), 9)) AS BIGINT)",
+    _panel_sql("week") + """, q AS (SELECT hex_id, turno, quantile_cont(y, 0.1) AS low, quantile_cont(y, 0.9) AS high FROM dense WHERE year(period) <= 1998 GROUP BY 1, 2),
+s AS (SELECT f.turno, year(period) AS yr, greatest(low - y, y - high) AS score FROM dense f JOIN q ON q.hex_id = f.hex_id AND q.turno = f.turno WHERE year(period) IN (1999, 2000)),
+o AS (SELECT turno, score, row_number() OVER (PARTITION BY turno ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY turno) AS n FROM s WHERE yr = 1999),
+c AS (SELECT turno, n, score AS q FROM o WHERE i = CAST(ceil(round((n - 1) * least(1e0, ceil(round((n + 1) * 0.8e0, 9)) / n), 9)) AS BIGINT))
+SELECT c.turno, any_value(n) AS n, round(any_value(q), 6) AS q, round(avg(CASE WHEN score <= q THEN 1e0 ELSE 0e0 END), 6) AS coverage FROM c JOIN s ON s.turno = c.turno AND yr = 2000 GROUP BY c.turno""",
 )
 def e06_conformal(spark: SparkSession, d: str) -> DataFrame:
-    scored = _intervals(spark, d).withColumn("score", F.greatest(F.col("low") - F.col("real"), F.col("real") - F.col("high")))
-    return rounded(metrics.higher_quantile(scored, "score", 0.8, ["turno"]))
+    """The correction of each shift, fitted on 1999 to intervals of the years before, and what it covers in 2000."""
+    x = dense(spark, d, "week")
+    both = x.where("year(period) IN (1999, 2000)").join(models.group_quantiles(x.where("year(period) <= 1998")), ["hex_id", "turno"])
+    scored = both.select("turno", F.year("period").alias("yr"), F.greatest(F.col("low") - F.col("y"), F.col("y") - F.col("high")).alias("score"))
+    q = metrics.higher_quantile(scored.where("yr = 1999"), "score", 0.8, ["turno"])
+    held = scored.where("yr = 2000").join(F.broadcast(q), "turno")  # a row a shift
+    return rounded(held.groupBy("turno", "n", "q").agg(F.avg((F.col("score") <= F.col("q")).cast("double")).alias("coverage")))
 
 
 @query("w09_activity", ", daily AS (SELECT c.hex_id, CAST(t.t AS BIGINT) AS t, coalesce(n, 0) AS y FROM cells c CROSS JOIN range(30) t(t) LEFT JOIN (SELECT hex_id, datediff('day', DATE '2024-01-01', fecha) AS t, count(*) AS n FROM incidents_h GROUP BY 1, 2) k ON k.hex_id = c.hex_id AND k.t = t.t) SELECT x.hex_id, x.t, x.y, round(coalesce((SELECT sum((1 - exp(-1 / 7e0)) * exp(-(x.t - 1 - s.t) / 7e0) * s.y) FROM daily s WHERE s.hex_id = x.hex_id AND s.t < x.t), 0), 6) AS a FROM daily x")

@@ -21,7 +21,7 @@ from atalaya.streaming import ingest
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Checked here; all of them are checked by the driver.
-SAMPLE = ["flagship_hotspots", "w03_weekly_panel", "m01_moran", "j14_point_in_polygon", "j17_overlay_area", "r02_reachable", "e06_conformal", "a27_lorenz", "k05_horizon_bands", "o07_camera_weights", "a12_profiles", "w09_activity", "g03_cells_of_polygons", "o04_radius_sweep", "m03_local_moran_p", "e08_historical_means", "s12b_normalised_flow", "o10_buffer_sweep"]
+SAMPLE = ["flagship_hotspots", "w03_weekly_panel", "m01_moran", "j14_point_in_polygon", "j17_overlay_area", "r02_reachable", "e06_conformal", "a27_lorenz", "k05_horizon_bands", "o07_camera_weights", "a12_profiles", "w09_activity", "g03_cells_of_polygons", "o04_ranked_coverage", "o01_small_plans", "m03_local_moran_p", "e08_historical_means", "s12b_normalised_flow", "o10_buffer_sweep"]
 
 
 def test_shifts(spark):
@@ -92,6 +92,12 @@ def test_greedy_cover(spark):
     assert covered == sorted(covered)
 
 
+def test_reachable_has_no_last_round(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(110)], "u long, v long, length_m double")
+    got = graph.reachable(spark.createDataFrame([(0,)], "source long"), chain, 1000.0).collect()
+    assert {(r.node, r.dist) for r in got} == {(i, float(i)) for i in range(111)}
+
+
 def test_reachable(spark):
     edges = spark.createDataFrame([(1, 2, 300.0), (2, 3, 300.0), (1, 3, 700.0), (3, 4, 300.0)], "u long, v long, length_m double")
     got = {(r.node, r.dist) for r in graph.reachable(spark.createDataFrame([(1,)], "source long"), edges, 800.0).collect()}

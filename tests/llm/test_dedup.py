@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import types as T
@@ -195,3 +196,21 @@ def test_line_dedup_finds_one_word_and_one_typo(spark):
     for low, ids in classes.items():
         assert len(ids) >= 15, low
         assert sum(got[i] == 0 for i in ids) >= 0.95 * len(ids), low
+
+
+def test_lines_around_a_common_passage_meet(spark):
+    """Pairs of lines that share a passage with all others: 24 common and 10 own words, 4 of them changed in the copy; those with more than two changes meet by chance."""
+    random = np.random.default_rng(17)
+    vocabulary = ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), int(random.integers(3, 9)))) for _ in range(1500)]
+    passage, lines, pairs = [vocabulary[i] for i in random.integers(0, 1500, 24)], [], []
+    for common, own, changed in ((24, 10, 4), (12, 8, 3)):
+        for _ in range(150):
+            words = passage[:common] + [vocabulary[i] for i in random.integers(0, 1500, own)]
+            copy = list(words)
+            for i in random.choice(np.arange(common, common + own), changed, replace=False):
+                copy[i] = vocabulary[int(random.integers(0, 1500))]
+            pairs.append((len(lines), len(lines) + 1))
+            lines += [" ".join(words), " ".join(copy)]
+    docs = spark.createDataFrame([(i, line, None, None, len(line)) for i, line in enumerate(lines)], "doc_id long, text string, lang string, source string, n_chars long")
+    stay = {r.doc_id for r in line_dedup.line_report(docs).where("n_kept > 0").collect()}
+    assert sum(b not in stay for _, b in pairs) >= 0.97 * len(pairs) and all(a in stay for a, _ in pairs)

@@ -135,3 +135,23 @@ def test_encoder_forgets_and_stays_right(monkeypatch):
             assert " ".join(x for x in (enc.known[c][1] for c in run) if x) == " ".join(map(str, lib.encode(t, add_special_tokens=False).ids))
     enc.forget()
     assert not enc.known and not enc.words and not enc.apart
+
+
+def test_resampled_pcm_by_plain_loops(spark):
+    def held(x, i):
+        return int(x[min(max(i, 0), len(x) - 1)])
+
+    texts = ["", "The quick brown fox\n" * 40, "ñandú €" * 100, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = {r.doc_id: r for r in telephony.stored_media(docs).collect()}
+    full = {r.doc_id: r for r in telephony.decode_media(telephony.encode_media(docs)).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        raw += b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        x = [int(telephony.MULAW[b]) for b in raw]
+        clip = lambda v: min(max(v, -32768), 32767)
+        twice = [v for k in range(len(x)) for v in (x[k], clip((3 * (held(x, k - 2) + held(x, k + 3)) - 25 * (held(x, k - 1) + held(x, k + 2)) + 150 * (x[k] + held(x, k + 1)) + 128) >> 8))]
+        assert np.frombuffer(full[i].mulaw_pcm, np.int16).tolist() == twice
+        half = bytes((clip((256 * x[k] + 150 * (held(x, k - 1) + held(x, k + 1)) - 25 * (held(x, k - 3) + held(x, k + 3)) + 3 * (held(x, k - 5) + held(x, k + 5)) + 256) >> 9) >> 8) + 128 for k in range(0, len(x), 2))
+        assert (stored[i].pcm_bytes, stored[i].pcm_sha256) == (len(x) // 2, hashlib.sha256(half).hexdigest())
+        assert stored[i].feature == full[i].feature and stored[i].payload_sha256 == hashlib.sha256(raw).hexdigest()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions.scalars import SHIFTS, fold_name, hour_of, one_every, rate_per_100k, regional_number, shift_of, tokens
-from ..operators import grid, metrics, models, panel, statistics
+from ..operators import grid, hawkes, metrics, models, panel, statistics
 from ..operators.tables import cut
 from .registry import query
 
@@ -213,6 +213,20 @@ def l09_hawkes_fit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.tune_hawkes(_daily(spark, d), b.ring(spark, d), TAUS, 20))
 
 
+@query("l09_hawkes_cells")
+def l09_hawkes_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The whole history, a background for each cell: every decay alone, the best with every other, the last year held out, and which is chosen."""
+    x = b.incidents(spark, d).where("fecha IS NOT NULL")
+    first, last = x.agg(F.min("fecha"), F.max("fecha")).first()
+    days = (last - first).days + 1
+    counts = x.groupBy("hex_id", F.datediff("fecha", F.lit(str(first))).cast("long").alias("t")).agg(F.count("*").alias("n"))
+    whole = b.cells(spark, d).select("hex_id", F.explode(F.expr(f"sequence(0L, {days - 1}L)")).alias("t"))
+    daily = whole.join(counts, ["hex_id", "t"], "left").select("hex_id", "t", F.coalesce("n", F.lit(0)).alias("y"))
+    fits, best = hawkes.choose(hawkes.histories(daily, b.ring(spark, d)), [float(t) for t in TAUS], days - 365, 8)
+    rows = [(f.taus[0], f.taus[1] if len(f.taus) > 1 else None, list(f.theta), f.branching, f.mu, f.train, f.held, f is best) for f in fits]
+    return rounded(spark.createDataFrame(rows, "tau double, tau2 double, theta array<double>, branching double, mu double, nll_train double, nll_held double, chosen boolean"))
+
+
 @query("l01_tweedie_surface")
 def l01_tweedie_surface(spark: SparkSession, d: str) -> DataFrame:
     x = panel.lag_features(dense(spark, d, "week"), "week").fillna(0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import bindings as b
-from ..operators import allocation, covering
+from ..operators import covering
 from ..operators.tables import cut
 from .panel_queries import _BASELINE, baseline_scores, rounded
 from .registry import query

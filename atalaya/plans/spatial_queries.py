@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..functions.scalars import percent_rank_average
 from ..operators import allocation, export, forecast, graph, grid, metrics, spatial
-from .panel_queries import baseline_scores, rounded
+from .panel_queries import rounded
 from .registry import query
 
 S = b.CELL_SIZE
@@ -156,11 +156,6 @@ def r03_covered_edges(spark: SparkSession, d: str) -> DataFrame:
 # --- allocation -----------------------------------------------------------------------------------------------------
 
 
-def demand(spark: SparkSession, d: str) -> DataFrame:
-    risk = baseline_scores(spark, d).where("turno = 'Tarde'").select(F.col("hex_id").alias("demand"), F.col("pred").alias("weight"), "comuna_id")
-    return risk.cache()
-
-
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     return reach(spark, d).select(F.col("source").alias("candidate"), F.col("node").alias("demand")).cache()
 

@@ -30,12 +30,17 @@ def reachable(sources: DataFrame, edges: DataFrame, cutoff: float, directed: boo
     return best
 
 
-def corridor_length(reach: DataFrame, edges: DataFrame) -> DataFrame:
-    """(source, km, edges): length of the edges with both ends within reach; antiparallel twins count once."""
+def corridor_edges(reach: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, a, b, length_m): the edges with both ends within reach, a < b; antiparallel twins are one, the shorter."""
     once = edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "length_m").groupBy("a", "b").agg(F.min("length_m").alias("length_m"))
     ends = reach.select("source", "node")
     both = once.join(ends, once.a == ends.node).drop("node").join(ends.select(F.col("source").alias("s2"), "node"), (F.col("b") == F.col("node")) & (F.col("source") == F.col("s2")))
-    return both.groupBy("source").agg((F.sum("length_m") / 1000).alias("km"), F.count("*").alias("edges"))
+    return both.select("source", "a", "b", "length_m")
+
+
+def corridor_length(reach: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, km, edges): length of the edges with both ends within reach."""
+    return corridor_edges(reach, edges).groupBy("source").agg((F.sum("length_m") / 1000).alias("km"), F.count("*").alias("edges"))
 
 
 def covered_edges(reach: DataFrame, edges: DataFrame) -> DataFrame:

@@ -219,6 +219,20 @@ def o09_controls(spark: SparkSession, d: str) -> DataFrame:
     return rounded(allocation.control_ranking(x))
 
 
+@query("o09_corridor_controls", _REACH + _SEGMENTS + """, once AS (SELECT least(u, v) AS a, greatest(u, v) AS b, min(length_m) AS m FROM roads GROUP BY 1, 2),
+tr AS (SELECT p.source AS access, a * 1000000 + b AS seg, m FROM once JOIN reach p ON p.node = a JOIN reach o ON o.node = b AND o.source = p.source), km AS (SELECT access, sum(m) / 1000 AS km FROM tr GROUP BY 1),
+h AS (SELECT access, count(DISTINCT poi_id) AS n FROM tr JOIN near ON near.seg = tr.seg AND dist <= 30 GROUP BY 1), k AS (SELECT source AS access, round(avg(weight), 6) AS risk FROM reach JOIN cells ON hex_id = node GROUP BY 1),
+y AS (SELECT km.access, coalesce(n, 0) / km AS per_km, risk FROM km LEFT JOIN h ON h.access = km.access JOIN k ON k.access = km.access), z AS (SELECT access, per_km, (""" + _RANK.format("per_km") + " + " + _RANK.format("risk") + ") / 2 AS score FROM y) SELECT access, round(per_km, 6) AS siniestros_por_km, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, access) AS INT) AS ranking FROM z")
+def o09_corridor_controls(spark: SparkSession, d: str) -> DataFrame:
+    """Accesses ranked by crashes a kilometre along their whole corridors and by the mean risk of the cells on them."""
+    r, near = reach(spark, d), spatial.points_near_segments(points(spark, d), segments(spark, d), 30.0, "poi_id", "seg").select("seg", "poi_id")
+    trace = graph.corridor_edges(r, b.roads(spark, d)).select(F.col("source").alias("access"), (F.col("a") * 1000000 + F.col("b")).alias("seg"), "length_m")
+    hits = trace.join(near, "seg").groupBy("access").agg(F.count_distinct("poi_id").alias("siniestros"))
+    risk = r.join(b.cells(spark, d).select(F.col("hex_id").alias("node"), "weight"), "node").groupBy(F.col("source").alias("access")).agg(F.round(F.avg("weight"), 6).alias("risk"))
+    km = trace.groupBy("access").agg((F.sum("length_m") / 1000).alias("km"))
+    return rounded(allocation.control_ranking(km.join(hits, "access", "left").fillna(0, ["siniestros"]).join(risk, "access")))
+
+
 @query("m10_rank_gaps", ", a AS (SELECT c.hex_id, n, weight FROM cells c JOIN (SELECT hex_id, count(*) AS n FROM incidents GROUP BY 1) i ON i.hex_id = c.hex_id) SELECT hex_id, rank() OVER (ORDER BY n DESC, hex_id) AS by_count, rank() OVER (ORDER BY weight DESC, hex_id) AS by_weight, abs(rank() OVER (ORDER BY n DESC, hex_id) - rank() OVER (ORDER BY weight DESC, hex_id)) AS gap FROM a")
 def m10_rank_gaps(spark: SparkSession, d: str) -> DataFrame:
     n = b.incidents(spark, d).groupBy("hex_id").agg(F.count("*").alias("n"))

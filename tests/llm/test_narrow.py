@@ -155,3 +155,21 @@ def test_resampled_pcm_by_plain_loops(spark):
         half = bytes((clip((256 * x[k] + 150 * (held(x, k - 1) + held(x, k + 1)) - 25 * (held(x, k - 3) + held(x, k + 3)) + 3 * (held(x, k - 5) + held(x, k + 5)) + 256) >> 9) >> 8) + 128 for k in range(0, len(x), 2))
         assert (stored[i].pcm_bytes, stored[i].pcm_sha256) == (len(x) // 2, hashlib.sha256(half).hexdigest())
         assert stored[i].feature == full[i].feature and stored[i].payload_sha256 == hashlib.sha256(raw).hexdigest()
+
+
+def test_stored_media_has_the_whole_pcm_of_all_expansions(spark):
+    def doubled(x):
+        held = lambda i: x[min(max(i, 0), len(x) - 1)]
+        mid = lambda k: (3 * (held(k - 2) + held(k + 3)) - 25 * (held(k - 1) + held(k + 2)) + 150 * (x[k] + held(k + 1)) + 128) >> 8
+        return [v for k in range(len(x)) for v in (x[k], min(max(mid(k), -32768), 32767))]
+
+    texts = ["", "The quick brown fox\n" * 40, "ñandú €" * 100, None]
+    got = {r.doc_id: r for r in telephony.stored_media(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        raw += b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        expanded = {"mulaw": [int(telephony.MULAW[b]) for b in raw], "alaw": [int(telephony.ALAW[b]) for b in raw], "adpcm": telephony.adpcm(np.frombuffer(raw, np.uint8).reshape(-1, 192)).ravel().tolist()}
+        for (name, x), said in zip(expanded.items(), got[i].feature.split(";"), strict=True):
+            pcm = got[i][f"{name}_pcm"]
+            assert np.frombuffer(pcm, np.int16).tolist() == doubled(x)
+            assert said.startswith(f"{name}=") and said.endswith(f":{zlib.crc32(pcm)}")

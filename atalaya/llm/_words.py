@@ -1,7 +1,8 @@
 """Words and word shingles of many texts at once, as numpy arrays of 64-bit hashes.
 
 A word is a run of bytes other than space and bytes 9 to 13; A-Z count as a-z. A word's hash is a polynomial in the
-values of its bytes, taken from differences of one running sum over the whole piece.
+values of its bytes, taken from differences of one running sum over a piece. Pieces are cut between texts, at about PIECE
+bytes, so that the arrays by byte, eight bytes and more each, stay small whatever the caller gives.
 """
 
 from __future__ import annotations
@@ -10,7 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from ._common import pieces
+
 U = np.uint64
+#: Bytes of texts that are hashed at once; with a space for each text still within the least table of powers.
+PIECE = 3 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -60,6 +65,18 @@ class Words:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     """Words of texts whose bytes are data[offsets[i]:offsets[i + 1]]; first and end count from the start of data."""
+    parts, bounds, n = [], [np.zeros(1, np.int64)], 0
+    for i, j in pieces(offsets, PIECE):
+        w = _piece(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        parts.append((w.hashes, w.first + offsets[i], w.end + offsets[i]))
+        bounds.append(w.bounds[1:] + n)
+        n += len(w.hashes)
+    if not parts:
+        return _piece(data, offsets)
+    return Words(*map(np.concatenate, zip(*parts, strict=True)), np.concatenate(bounds))
+
+
+def _piece(data: np.ndarray, offsets: np.ndarray) -> Words:
     n, lens = len(offsets) - 1, np.diff(offsets)
     at = offsets[:-1] + np.arange(n)  # each text is followed by one space
     spaced = np.full(len(data) + n, 32, np.uint8)

@@ -37,7 +37,7 @@ RADIUS = 24
 ITEMS = 20_000
 _FILTER = 1 << 22
 #: Pairs of fingerprints compared at once, per block.
-_PAIRS = 1 << 22
+_PAIRS = 1 << 20
 
 
 def simhash(rows: np.ndarray) -> np.ndarray:

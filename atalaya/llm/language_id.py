@@ -25,6 +25,8 @@ from ._common import DOC_COLUMNS, batches, held_out
 BUCKETS = 1 << 16
 GRAM = 4
 ROUNDS = 12
+#: Bytes of text in hand at once: the arrays by byte and language stay at some dozens of MB a task.
+PIECE = 1 << 20
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91] += 32
@@ -62,7 +64,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for part, data, offsets in batches(rows):
+        for part, data, offsets in batches(rows, PIECE):
             buckets, firsts, words = _grams(data, offsets)
             ends = np.append(firsts, len(buckets))[words]
             langs = np.array(part.column("lang").to_pylist(), object)
@@ -144,7 +146,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in batches(rows, 2 << 20):
+        for part, data, offsets in batches(rows, PIECE):
             shares, sure = infer(shared.value, data, offsets)
             known = (shares.sum(1) > 0) & np.array(part.column("has_letter").to_pylist(), bool) if langs else np.zeros(part.num_rows, bool)
             top = shares.argmax(1) if langs else np.zeros(part.num_rows, int)
@@ -164,7 +166,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     flat = docs.select(*DOC_COLUMNS)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in batches(rows, 2 << 20):
+        for part, data, offsets in batches(rows, PIECE):
             shares, _ = infer(shared.value, data, offsets)
             yield part.filter(pa.array(shares.sum(1) > 0 if langs else np.zeros(part.num_rows, bool)))
 

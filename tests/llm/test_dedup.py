@@ -238,3 +238,20 @@ def test_words_of_many_texts_in_little_memory(monkeypatch):
     a, b = got.bounds[k], got.bounds[k + 1]
     assert [(int(x - offsets[k]), int(y - offsets[k])) for x, y in zip(got.first[a:b], got.end[a:b], strict=True)] == spans
     assert _words.words(data[:0], offsets[:1]).bounds.tolist() == [0]
+
+
+def test_crowds_under_a_rare_word_make_links_only(spark):
+    """Lines that share words with all others, each in a component of its own: exactly the similar pairs come out, no candidates."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choices("abcdefghijkl", k=5)) for _ in range(200)]
+    lines = []
+    for _ in range(40):
+        w = vocabulary[:6] + rng.choices(vocabulary, k=8)
+        lines += [" ".join(w), " ".join([*w[:-3], *rng.choices(vocabulary, k=3)])]
+    docs = frame(spark, list(enumerate(lines)))
+    nodes = line_dedup.occurrences(docs).selectExpr("key", "at").dropDuplicates(["key"]).localCheckpoint()
+    texts = line_dedup._texts(nodes.select("key"), nodes, docs)
+    names = {r.key: r.line for r in texts.collect()}
+    got = [(names[r.a], names[r.b]) for r in line_dedup._by_rare_words(nodes.selectExpr("key", "key AS top"), texts).collect()]
+    want = {tuple(sorted((a, b))) for a in names.values() for b in names.values() if a < b and similar(a, b)}
+    assert {tuple(sorted(x)) for x in got} == want and len(got) == len(want) and want

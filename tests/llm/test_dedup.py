@@ -255,3 +255,33 @@ def test_crowds_under_a_rare_word_make_links_only(spark):
     got = [(names[r.a], names[r.b]) for r in line_dedup._by_rare_words(nodes.selectExpr("key", "key AS top"), texts).collect()]
     want = {tuple(sorted((a, b))) for a in names.values() for b in names.values() if a < b and similar(a, b)}
     assert {tuple(sorted(x)) for x in got} == want and len(got) == len(want) and want
+
+
+@pytest.mark.parametrize("crowd", [None, 4])
+def test_crowds_of_one_component_are_not_split(spark, monkeypatch, crowd):
+    """600 near copies, one component so far, and 40 other lines with their words: each line has a row for each of its rarest words, once; split by two words, the pairs are the same."""
+    rng = random.Random(37)
+    vocabulary = ["".join(rng.choices("abcdefghijkl", k=6)) for _ in range(300)]
+    lines, base = set(), vocabulary[:12]
+    while len(lines) < 600:
+        w = list(base)
+        w[rng.randrange(12)], w[rng.randrange(12)] = rng.choice(vocabulary[12:]), rng.choice(vocabulary[12:])
+        lines.add(" ".join(w))
+    while len(lines) < 640:
+        lines.add(" ".join(base[:9] + rng.choices(vocabulary, k=rng.choice([2, 3]))))
+    docs = frame(spark, list(enumerate(sorted(lines))))
+    nodes = line_dedup.occurrences(docs).selectExpr("key", "at").dropDuplicates(["key"]).localCheckpoint()
+    texts = line_dedup._texts(nodes.select("key"), nodes, docs)
+    names, n_base = {r.key: r.line for r in texts.collect()}, lambda x: len(set(base) & set(x.split(" ")))
+    one = [k for k, x in names.items() if n_base(x) >= 10]
+    tops = {k: min(one) if k in one else k for k in names}
+    made, write = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: (out := write(df, name), made.append((name, out.count())))[0])
+    if crowd is not None:
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    got = line_dedup._by_rare_words(spark.createDataFrame(list(tops.items()), "key long, top long"), texts).collect()
+    want = {(a, b) for a in names for b in names if a < b and tops[a] != tops[b] and similar(names[a], names[b])}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and want
+    if crowd is None:
+        crowded = [n for name, n in made if name == "line-crowded"]
+        assert len(crowded) == 1 and 600 < crowded[0] <= 5 * len(lines)

@@ -285,3 +285,16 @@ def test_crowds_of_one_component_are_not_split(spark, monkeypatch, crowd):
     if crowd is None:
         crowded = [n for name, n in made if name == "line-crowded"]
         assert len(crowded) == 1 and 600 < crowded[0] <= 5 * len(lines)
+
+
+def test_words_of_a_line_are_made_once(spark, monkeypatch):
+    """One regular expression for the words in each plan, and the hashes of most lines alone in the table of all lines."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    docs = frame(spark, [(0, "one two three four five six seven eight\n##"), (1, "One two three four five six seven nine"), (2, "ab"), (3, "ac ab")])
+    assert plan(line_dedup.occurrences(docs)).count("regexp_extract_all") == 1
+    made, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: made.setdefault(name, []).append((df, plan(df))) or write(df, name))
+    gone = {r.doc_id: list(r.dropped) for r in line_dedup.line_report(docs).collect()}
+    assert gone == {0: [], 1: [0], 2: [], 3: []}
+    assert made["line-texts"][0][1].count("regexp_extract_all") == 1
+    assert made["lines"][0][0].columns == ["key", "n", "at", "size", *[f"w{i}" for i in range(8)]]

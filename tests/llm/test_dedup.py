@@ -298,3 +298,21 @@ def test_words_of_a_line_are_made_once(spark, monkeypatch):
     assert gone == {0: [], 1: [0], 2: [], 3: []}
     assert made["line-texts"][0][1].count("regexp_extract_all") == 1
     assert made["lines"][0][0].columns == ["key", "n", "at", "size", *[f"w{i}" for i in range(8)]]
+
+
+def test_keys_are_compiled_and_only_wanted_lines_read_again(spark, monkeypatch):
+    """No interpreted filter in the keys; lines that are read again are put in lower case alone; repeated words give the same smallest hashes."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    table = lambda names, some: spark.range(4).selectExpr("id AS key", "9 AS size", *[f"IF({i} < {some}, id DIV 2 * 100 + {i}, NULL) AS {x}" for i, x in enumerate(names)])
+    keys = line_dedup._buckets(table(line_dedup.PRINTS, 8), table(line_dedup.OTHERS, 0))
+    assert "lambda" not in plan(keys)
+    assert keys.count() == 4 * 10 and keys.select("bucket").distinct().count() == 2 * 10 and keys.where("bucket IS NULL").count() == 0
+    words = ["somewhat"] * 40 + ["longest"] * 30 + [f"word{i}" for i in range(20)] + ["a"] * 9
+    docs = frame(spark, [(0, " ".join(words)), (1, " ".join(words[:69])), (2, " ".join([*words[:-1], "B"]))])
+    got = {r.doc_id: r for r in line_dedup.occurrences(docs).selectExpr("cast(at div 2147483648 AS long) AS doc_id", *line_dedup.PRINTS).collect()}
+    want = docs.selectExpr("doc_id", "sort_array(array_distinct(transform(split(lower(text), ' '), w -> shiftrightunsigned(xxhash64(w), 8 + least(length(w), 8))))) AS h").collect()
+    assert all([got[r.doc_id][x] for x in line_dedup.PRINTS] == [*r.h, *[None] * 8][:8] for r in want)
+    made, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: made.setdefault(name, plan(df)) and write(df, name))
+    assert {r.doc_id: list(r.dropped) for r in line_dedup.line_report(docs).collect()} == {0: [], 1: [], 2: [0]}
+    assert "lower(text" not in made["line-texts"] and "lower(" in made["line-texts"]

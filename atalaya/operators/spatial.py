@@ -165,14 +165,25 @@ def clip_half_plane(ring: Column, nx: Column, ny: Column, c: Column) -> Column:
     return F.when(F.size(ring) == 0, empty).otherwise(F.aggregate(_edges(ring), empty, step))
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def overlap_area(df: DataFrame, ring: str, box: tuple[str, str, str, str], name: str = "area") -> DataFrame:
-    """df with the area of a convex ring within a box (x0, y0, x1, y1 columns): four half-plane cuts."""
+    """df with the area of a convex ring within a box (x0, y0, x1, y1 columns).
+
+    Rectangles along the axes are cut by their extents, other rings by four half planes, one after the other.
+    """
     x0, y0, x1, y1 = map(F.col, box)
     one, zero = F.lit(1.0), F.lit(0.0)
-    out = df.withColumn("__cut", F.col(ring))
-    for nx, ny, c in ((one, zero, x1), (-one, zero, -x0), (zero, one, y1), (zero, -one, -y0)):
-        out = out.withColumn("__cut", clip_half_plane(F.col("__cut"), nx, ny, c))
-    return out.withColumn(name, F.when(F.size("__cut") < 3, 0.0).otherwise(F.abs(signed_area(F.col("__cut"))))).drop("__cut")
+    planes = F.array(*[F.struct(nx.alias("nx"), ny.alias("ny"), c.cast("double").alias("c")) for nx, ny, c in ((one, zero, x1), (-one, zero, -x0), (zero, one, y1), (zero, -one, -y0))])
+    left = F.aggregate(planes, F.col(ring), lambda left, p: clip_half_plane(left, p["nx"], p["ny"], p["c"]))
+    cut_off = _once(left, lambda c: F.when(F.size(c) < 3, 0.0).otherwise(F.abs(signed_area(c))))
+    a, b, c, d = (F.get(F.col(ring), F.lit(i)) for i in range(4))
+    along = lambda i, j: (a[i] == d[i]) & (b[i] == c[i]) & (a[j] == b[j]) & (c[j] == d[j])
+    side = lambda k, lo, hi: F.greatest(zero, F.least(F.greatest(a[k], c[k]), hi) - F.greatest(F.least(a[k], c[k]), lo))
+    return df.withColumn(name, F.when((F.size(ring) == 4) & (along("x", "y") | along("y", "x")), side("x", x0, x1) * side("y", y0, y1)).otherwise(cut_off))
 
 
 def circle(x: Column, y: Column, radius: Column, steps: int = 48) -> Column:

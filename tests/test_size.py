@@ -14,7 +14,7 @@ def nested(df) -> int:
     return df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
 
 
-@pytest.mark.parametrize("query", ["j17_overlay_area", "g11_area_interpolation"])
+@pytest.mark.parametrize("query", ["j17_overlay_area", "g11_area_interpolation", "a11_largest_overlap"])
 def test_overlaps_are_worked_out_once(spark, sf_dir, query):
     assert nested(entry.queries()[query](spark, sf_dir)) < 20
 

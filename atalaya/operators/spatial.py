@@ -223,25 +223,31 @@ def transverse_mercator(lat: Column, lon: Column, lon0: float = -60.0, lat0: flo
 
 
 def cells_of_polygons(polygons: DataFrame, size: float, polygon_id: str) -> DataFrame:
-    """(polygon_id, q, r): the grid cells of the given size that overlap a convex polygon (column ring).
+    """(polygon_id, q, r): the grid cells of the given size that overlap a convex polygon (column ring) that has an area.
 
-    Cells are counted out over the polygon's box, one cell wider on each side, and cut with it by half planes.
+    Cells are counted out over the polygon's box, one cell wider on each side, in rows that are dealt to all tasks. A centre
+    farther from an edge than a cell's radius decides by itself; only cells on the border are cut with it by half planes.
     """
     from .grid import cell_centre, cell_corners
 
-    box = polygons.select(polygon_id, "ring", *[f(F.col(f"ring.{k}")).alias(n) for n, f, k in (("x0", F.array_min, "x"), ("x1", F.array_max, "x"), ("y0", F.array_min, "y"), ("y1", F.array_max, "y"))])
+    box = polygons.select(polygon_id, "ring", *[f(F.col(f"ring.{k}")).alias(n) for n, f, k in (("x0", F.array_min, "x"), ("x1", F.array_max, "x"), ("y0", F.array_min, "y"), ("y1", F.array_max, "y"))], F.signum(signed_area(F.col("ring"))).alias("__turn")).where("__turn <> 0")
     rows = F.sequence(F.floor(F.col("y0") / (1.5 * size)) - 1, F.ceil(F.col("y1") / (1.5 * size)) + 1)
     wide = math.sqrt(3.0) * size
-    out = box.withColumn("r", F.explode(rows)).withColumn("q", F.explode(F.sequence(F.floor(F.col("x0") / wide - F.col("r") / 2) - 1, F.ceil(F.col("x1") / wide - F.col("r") / 2) + 1)))
-    cx, cy = cell_centre(F.col("q"), F.col("r"), size)
-    out = out.withColumn("__cut", cell_corners(cx, cy, size)).withColumn("__edges", _edges(F.col("ring"))).withColumn("__turn", F.signum(signed_area(F.col("ring"))))
 
-    def keep(cut: Column, e: Column) -> Column:  # the side of the edge on which the polygon lies
+    def plane(e: Column) -> Column:  # nx * x + ny * y <= c on the side of the edge on which the polygon lies
         nx, ny = (e["b"]["y"] - e["a"]["y"]) * F.col("__turn"), (e["a"]["x"] - e["b"]["x"]) * F.col("__turn")
-        return clip_half_plane(cut, nx, ny, nx * e["a"]["x"] + ny * e["a"]["y"])
+        return F.struct(nx.alias("nx"), ny.alias("ny"), (nx * e["a"]["x"] + ny * e["a"]["y"]).alias("c"), F.sqrt(nx * nx + ny * ny).alias("n"))
 
-    left = F.aggregate("__edges", F.col("__cut"), keep)
-    return out.where((F.size(left) > 2) & (F.abs(signed_area(left)) > 1e-6)).select(polygon_id, "q", "r")
+    box = box.withColumn("__planes", F.filter(F.transform(_edges(F.col("ring")), plane), lambda p: p["n"] > 0))
+    tasks = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = box.select(polygon_id, "__planes", "x0", "x1", F.explode(rows).alias("r")).repartition(tasks, polygon_id, "r")  # else a task for all rows of a polygon
+    out = out.withColumn("q", F.explode(F.sequence(F.floor(F.col("x0") / wide - F.col("r") / 2) - 1, F.ceil(F.col("x1") / wide - F.col("r") / 2) + 1)))
+    cx, cy = cell_centre(F.col("q"), F.col("r"), size)
+    out = out.select(polygon_id, "q", "r", "__planes", cx.alias("__x"), cy.alias("__y"))
+    beyond = F.array_max(F.transform("__planes", lambda p: (p["nx"] * F.col("__x") + p["ny"] * F.col("__y") - p["c"]) / p["n"]))
+    left = F.aggregate("__planes", cell_corners(F.col("__x"), F.col("__y"), size), lambda left, p: clip_half_plane(left, p["nx"], p["ny"], p["c"]))
+    cut_off = _once(left, lambda c: (F.size(c) > 2) & (F.abs(signed_area(c)) > 1e-6))
+    return out.where(_once(beyond, lambda d: F.when(d >= size, False).when(d <= -size, True).otherwise(cut_off))).select(polygon_id, "q", "r")
 
 
 def dissolve_cells(cells: DataFrame, ring: DataFrame, group: str, size: float) -> DataFrame:

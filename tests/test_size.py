@@ -25,3 +25,17 @@ def test_overlap_of_turned_and_level_rings(spark):
     df = spatial.overlap_area(spark.createDataFrame(rows, "i int, ring array<struct<x:double,y:double>>, x0 double, y0 double, x1 double, y1 double"), "ring", ("x0", "y0", "x1", "y1"))
     assert nested(df.where("area > 0.001")) < 20
     assert [round(r.area, 9) for r in df.where("area > 0.001").orderBy("i").collect()] == [2.0, 2.0, 2.0]  # half of each
+
+
+def test_cells_of_a_polygon_are_dealt_to_all_tasks(spark):
+    ring = "array(struct(0d AS x, 0d AS y), struct(9000d AS x, 0d AS y), struct(9000d AS x, 7000d AS y), struct(0d AS x, 7000d AS y))"
+    cells = spatial.cells_of_polygons(spark.sql(f"SELECT 1 AS id, {ring} AS ring"), 100.0, "id")
+    assert nested(cells) < 20 and len({r.task for r in cells.select(F.spark_partition_id().alias("task")).collect()}) > 1
+
+
+def test_cells_beyond_row_200_and_of_no_area(spark):
+    ring = "array(struct(0d AS x, 150000d AS y), struct(900d AS x, 150000d AS y), struct(900d AS x, 150700d AS y), struct(0d AS x, 150700d AS y))"
+    high = spatial.cells_of_polygons(spark.sql(f"SELECT 1 AS id, {ring} AS ring"), 443.0, "id").collect()
+    assert high and min(r.r for r in high) > 200
+    flat = "array(struct(0d AS x, 0d AS y), struct(900d AS x, 0d AS y), struct(300d AS x, 0d AS y))"
+    assert not spatial.cells_of_polygons(spark.sql(f"SELECT 1 AS id, {flat} AS ring"), 443.0, "id").collect()

@@ -2,11 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from atalaya.operators import spatial
+from atalaya import bindings as b
+from atalaya.operators import boosting, panel, series, spatial
+from atalaya.plans.panel_queries import dense
 
 
 def nested(df) -> int:
@@ -39,3 +42,36 @@ def test_cells_beyond_row_200_and_of_no_area(spark):
     assert high and min(r.r for r in high) > 200
     flat = "array(struct(0d AS x, 0d AS y), struct(900d AS x, 0d AS y), struct(300d AS x, 0d AS y))"
     assert not spatial.cells_of_polygons(spark.sql(f"SELECT 1 AS id, {flat} AS ring"), 443.0, "id").collect()
+
+
+def test_weekly_features_are_those_of_the_panel(spark, sf_dir):
+    """The same rows, and nothing of the panel's size is sorted or exchanged."""
+    got = series.weekly_features(b.cells(spark, sf_dir), b.incidents(spark, sf_dir), b.ring(spark, sf_dir), ("A", "R"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "sequence(" not in plan
+    want = panel.lag_features(dense(spark, sf_dir, "week", near=True), "week")
+    columns = want.columns
+    assert {tuple(r) for r in got.select(columns).collect()} == {tuple(r) for r in want.collect()}
+    own = panel.lag_features(dense(spark, sf_dir, "week", tipo="R"), "week").selectExpr("hex_id", "period", "turno", "y", "lag_1", "roll_4", "roll_12")
+    assert {tuple(r) for r in got.select("hex_id", "period", "turno", "y_R", "lag_1_R", "roll_4_R", "roll_12_R").collect()} == {tuple(r) for r in own.collect()}
+
+
+def test_only_the_smaller_child_is_counted(spark):
+    """Blocks hold training and validation rows only, and what is left of a parent is the other child's sums."""
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(a > 6) + float(e), int(s)) for a, e, s in zip(rng.integers(0, 9, 900), rng.random(900), rng.integers(0, 3, 900), strict=True)]
+    df = spark.createDataFrame(rows, "a double, y double, part int")
+    bins = boosting.fit_bins(df, ["a"])
+    coded, model = boosting.binned(df, bins, ["y", "part"]), boosting.Model("m", "y", "part", ("a",))
+    assert coded.columns == ["y", "part", "bins"]
+    plain = coded.where("part < 2").selectExpr("bins", "y", "cast(part AS double) AS part")
+    base = boosting._packed(plain, ["y", "part"], 1, 1).cache()
+    assert base.count() <= plain.rdd.getNumPartitions() and base.agg(F.sum("n")).first()[0] == sum(s < 2 for *_, s in rows)
+    tree = boosting.Tree(np.full(7, -1), [None] * 7, np.zeros(7))
+    whole = boosting._sums(base, [model], bins, [0.0], [[]], {0: tree}, 0, {})
+    boosting.grow_level(tree, 0, {0: whole[0, 0]}, bins, model, 0.1, 1)
+    both = boosting._sums(base, [model], bins, [0.0], [[]], {0: tree}, 1, whole)
+    for node, side in ((1, tree.left[0]), (2, ~tree.left[0])):
+        for k in range(3):
+            assert np.allclose(both[0, node][k], np.where(side, whole[0, 0][k], 0.0))
+    assert len(boosting._smaller(tree, 1, {0: whole[0, 0]}, bins.sizes())) == 1

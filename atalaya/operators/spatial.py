@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import cut
@@ -73,21 +73,49 @@ def points_near_segments(points: DataFrame, segments: DataFrame, radius: float,
 def nearest_segment(points: DataFrame, segments: DataFrame, first: float, point_id: str, segment_id: str, digits: int = 6) -> DataFrame:
     """(point_id, segment_id, dist): each point's nearest segment; ties of the rounded distance go to the lower id.
 
-    Looks within `first`, then twice as far for the points that found nothing, until the radius spans all of them. Points
-    without coordinates have no row.
+    Looks within `first`, then twice as far for the points that found nothing. Wider buckets would hold most segments, so the
+    points that are left then go down a tree of squares. Points without coordinates have no row.
     """
+    segments = segments.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
     rest, radius, done = points.where("x IS NOT NULL AND y IS NOT NULL"), first, []
-    xs = segments.select(F.col("x1").alias("x"), F.col("y1").alias("y")).unionAll(segments.select("x2", "y2")).unionAll(rest.select("x", "y"))
-    x0, x1, y0, y1 = xs.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    span = math.hypot(x1 - x0, y1 - y0) if x0 is not None and not segments.isEmpty() else -1.0
-    while span >= 0 and not rest.isEmpty():
+    for _ in range(2):
         found = points_near_segments(rest, segments, radius, point_id, segment_id).withColumn("dist", F.round("dist", digits))
         best = cut(found.groupBy(point_id).agg(F.min(F.struct("dist", segment_id)).alias("b")).select(point_id, f"b.{segment_id}", "b.dist"))
         done.append(best)
-        if radius > span:
-            break
         rest, radius = cut(rest.join(best, point_id, "left_anti")), 2 * radius
-    return reduce(DataFrame.unionAll, done) if done else points_near_segments(points, segments, first, point_id, segment_id)
+        if rest.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+    return reduce(DataFrame.unionAll, [*done, _down_the_squares(rest, segments, first, point_id, segment_id, digits)])
+
+
+def _down_the_squares(points: DataFrame, segments: DataFrame, size: float, point_id: str, segment_id: str, digits: int) -> DataFrame:
+    """nearest_segment of points that may lie far from all segments, by branch and bound.
+
+    Segments stand in the square of their middle, squares in squares twice as wide, each with the box of its segments. Level by
+    level a point keeps the squares whose box is no farther than the farthest corner of its best one.
+    """
+    middle = lambda k: F.floor((F.col(f"{k}1") + F.col(f"{k}2")) / 2 / size)
+    placed = segments.select(segment_id, "x1", "y1", "x2", "y2", middle("x").alias("cx"), middle("y").alias("cy"))
+    ends = [f(g(f"{k}1", f"{k}2")).alias(f"{k}{n}") for k in "xy" for n, f, g in (("lo", F.min, F.least), ("hi", F.max, F.greatest))]
+    tree = [cut(placed.groupBy("cx", "cy").agg(*ends))]
+    while tree[-1].count() > 16:  # four squares around the origin at the top
+        up = tree[-1].groupBy(F.shiftright("cx", 1).alias("cx"), F.shiftright("cy", 1).alias("cy"))
+        tree.append(cut(up.agg(*[f(f"{k}{n}").alias(f"{k}{n}") for k in "xy" for n, f in (("lo", F.min), ("hi", F.max))])))
+
+    def kept(met: DataFrame) -> DataFrame:
+        near = lambda k: F.greatest(F.lit(0.0), F.col(f"{k}lo") - F.col(k), F.col(k) - F.col(f"{k}hi"))
+        far = lambda k: F.greatest(F.abs(F.col(k) - F.col(f"{k}lo")), F.abs(F.col(k) - F.col(f"{k}hi")))
+        most = F.min(F.hypot(far("x"), far("y"))).over(Window.partitionBy(point_id))
+        met = met.select(point_id, "x", "y", "cx", "cy", F.hypot(near("x"), near("y")).alias("least"), most.alias("most"))
+        return met.where(F.col("least") <= F.col("most") * (1 + 1e-12) + 2 * 10.0**-digits).select(point_id, "x", "y", "cx", "cy")
+
+    front = kept(points.select(point_id, *[F.col(k).cast("double").alias(k) for k in "xy"]).join(F.broadcast(tree[-1]), how="cross"))  # 16 squares at most
+    for level in reversed(tree[:-1]):
+        inner = level.withColumns({"px": F.shiftright("cx", 1), "py": F.shiftright("cy", 1)})
+        front = kept(front.withColumnsRenamed({"cx": "px", "cy": "py"}).join(inner, ["px", "py"]))
+    dist = F.round(segment_distance(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2"))), digits)
+    found = front.join(placed, ["cx", "cy"]).select(point_id, segment_id, dist.alias("dist"))
+    return found.groupBy(point_id).agg(F.min(F.struct("dist", segment_id)).alias("b")).select(point_id, f"b.{segment_id}", "b.dist")
 
 
 # --- polygons: array<struct<x, y>> rings, not closed --------------------------------------------------------------

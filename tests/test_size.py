@@ -99,3 +99,23 @@ def test_permutations_are_not_rows(spark, sf_dir):
         above += moran(dict(zip(ids, [z[h] for h in sorted(ids, key=lambda h: (key[h], h))], strict=True))) >= moran(z)
     got = statistics.moran_permutations(values, weights, reps=19).first()
     assert abs(got.moran - moran(z)) < 1e-9 and abs(got.p - (above + 1) / 20) < 1e-9
+
+
+def test_far_points_go_down_the_squares(spark, monkeypatch):
+    """Buckets are never wider than twice the first radius, and points far from all segments find what brute force finds, ties by id."""
+    rng, widths, join = np.random.default_rng(11), [], spatial.points_near_segments
+    monkeypatch.setattr(spatial, "points_near_segments", lambda p, s, radius, *ids: (widths.append(radius), join(p, s, radius, *ids))[1])
+    a = rng.uniform(-300, 300, (60, 2))
+    segs = [(i, *map(float, p), *map(float, p + d)) for i, (p, d) in enumerate(zip(a, rng.uniform(-60, 60, (60, 2)), strict=True))] + [(60, 0.0, 0.0, 9.0, 0.0), (61, 0.0, 0.0, 9.0, 0.0), (62, None, 0.0, 1.0, 1.0)]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-5000, 5000, (40, 2)))] + [(40, 4.0, -1.0), (41, None, 0.0)]
+    df = spark.createDataFrame(segs, "seg int, x1 double, y1 double, x2 double, y2 double")
+    got = spatial.nearest_segment(spark.createDataFrame(points, "p int, x double, y double"), df, 20.0, "p", "seg").collect()
+
+    def plain(x, y, x1, y1, x2, y2):
+        t = min(1, max(0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+        return round(math.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1)), 6)
+
+    want = {i: min((plain(x, y, *s[1:]), s[0]) for s in segs[:-1]) for i, x, y in points[:-1]}
+    assert {r.p: r.seg for r in got} == {i: s for i, (_, s) in want.items()} and len(got) == len(want)
+    assert all(abs(r.dist - want[r.p][0]) < 2e-6 for r in got) and max(widths) <= 40
+    assert spatial.nearest_segment(spark.createDataFrame(points, "p int, x double, y double"), df.where("seg < 0"), 20.0, "p", "seg").count() == 0

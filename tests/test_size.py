@@ -119,3 +119,11 @@ def test_far_points_go_down_the_squares(spark, monkeypatch):
     assert {r.p: r.seg for r in got} == {i: s for i, (_, s) in want.items()} and len(got) == len(want)
     assert all(abs(r.dist - want[r.p][0]) < 2e-6 for r in got) and max(widths) <= 40
     assert spatial.nearest_segment(spark.createDataFrame(points, "p int, x double, y double"), df.where("seg < 0"), 20.0, "p", "seg").count() == 0
+
+
+def test_daily_sums_make_no_panel(spark, sf_dir):
+    got = entry.queries()["w01_daily_panel"](spark, sf_dir)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "sequence(" not in plan
+    want = panel.lag_features(dense(spark, sf_dir, "day", near=True), "day").groupBy("hex_id", "turno").agg(F.count("*").alias("rows_n"), *[F.sum(c).alias(c) for c in got.columns[3:]])
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}

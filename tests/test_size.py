@@ -127,3 +127,9 @@ def test_daily_sums_make_no_panel(spark, sf_dir):
     assert "Window" not in plan and "sequence(" not in plan
     want = panel.lag_features(dense(spark, sf_dir, "day", near=True), "day").groupBy("hex_id", "turno").agg(F.count("*").alias("rows_n"), *[F.sum(c).alias(c) for c in got.columns[3:]])
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_the_surface_is_fitted_to_a_stored_table(spark, sf_dir):
+    """Rounds of the fit read columns of a file; the panel is not made again for each."""
+    plan = entry.queries()["l01_tweedie_surface"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
